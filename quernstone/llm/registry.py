@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, pii
+from . import decontaminate, exact_dedup, pii, simhash
 from .common import table
 
 QUERIES = {
     "op5_pii": lambda spark, sf_dir: pii.pii_digest(table(spark, sf_dir, "documents")),
+    "op6_simhash": lambda spark, sf_dir: simhash.simhash_digest(table(spark, sf_dir, "documents")),
     "op7_exact_dedup": lambda spark, sf_dir: exact_dedup.exact_dedup(table(spark, sf_dir, "documents")),
+    "op10_decontaminate": lambda spark, sf_dir: decontaminate.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
 }
 
 ORACLES = {
     "op5_pii": pii.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
+    "op10_decontaminate": decontaminate.ORACLE,
 }
