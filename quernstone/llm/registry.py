@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, pii, simhash
+from . import decontaminate, exact_dedup, pieces, pii, simhash
 from .common import table
 
 QUERIES = {
+    "op3_pieces": lambda spark, sf_dir: pieces.piece_digest(table(spark, sf_dir, "documents")),
     "op5_pii": lambda spark, sf_dir: pii.pii_digest(table(spark, sf_dir, "documents")),
     "op6_simhash": lambda spark, sf_dir: simhash.simhash_digest(table(spark, sf_dir, "documents")),
     "op7_exact_dedup": lambda spark, sf_dir: exact_dedup.exact_dedup(table(spark, sf_dir, "documents")),
