@@ -61,7 +61,10 @@ class PieceModel:
             self.values[i] = pieces[i].replace(SPACE, " ").encode()
         # symbols: ids below size are pieces, characters outside the vocabulary follow as they are met
         self.size = size
-        self.char_ids = {p: i for p, i in ids.items() if len(p) == 1}
+        self.of_code = np.full(0x110000, -1, np.int64)
+        for p, i in ids.items():
+            if len(p) == 1:
+                self.of_code[ord(p)] = i
         # pieces of one score share a rank: of their places the leftmost goes first
         rank = np.full(size, _NONE, np.int32)
         rank[plain] = np.unique([-library.get_score(i) for i in plain], return_inverse=True)[1]
@@ -98,23 +101,27 @@ class PieceModel:
         """The piece that each neighbouring pair makes, -1 where the vocabulary has none."""
         keys = np.where((left < self.size) & (right < self.size), left * self.size + right, -2)
         row = self._row(keys)
-        out = np.full(len(keys), -1, np.int32)
-        for slot_keys, slot_made in zip(self.slot_keys, self.slot_made, strict=True):
-            out = np.where(slot_keys[row] == keys, slot_made[row], out)
+        first = self.slot_keys[0][row]
+        out = np.where(first == keys, self.slot_made[0][row], -1)
+        rest = np.flatnonzero((first != keys) & (first >= 0) & (keys >= 0))
+        for slot_keys, slot_made in zip(self.slot_keys[1:], self.slot_made[1:], strict=True):
+            at = row[rest]
+            same = slot_keys[at] == keys[rest]
+            out[rest[same]] = slot_made[at[same]]
+            rest = rest[~same & (slot_keys[at] >= 0)]
         return out
 
     def merge(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merge rounds over words that lie one after another; returns their symbols and lengths at the end."""
         results: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         index = np.arange(len(lengths))
+        word = np.repeat(index, lengths)
+        piece = np.full(len(symbols), -1, np.int32)
+        near = np.flatnonzero(word[:-1] == word[1:])
+        piece[near] = self.pairs(symbols[near], symbols[near + 1])
         while len(lengths):
-            word = np.repeat(np.arange(len(lengths)), lengths)
-            starts = np.cumsum(lengths) - lengths
-            piece = np.full(len(symbols), -1, np.int32)
-            if len(symbols) > 1:
-                piece[:-1] = np.where(word[:-1] == word[1:], self.pairs(symbols[:-1], symbols[1:]), -1)
             rank = np.where(piece >= 0, self.rank[piece], _NONE)
-            best = np.minimum.reduceat(rank, starts)
+            best = np.minimum.reduceat(rank, np.cumsum(lengths) - lengths)
             over = best == _NONE
             if over.any():
                 done = over[word]
@@ -136,8 +143,15 @@ class PieceModel:
             symbols[at] = made
             keep = np.ones(len(symbols), bool)
             keep[at + 1] = False
-            symbols = symbols[keep]
+            symbols, piece, word = symbols[keep], piece[keep], word[keep]
             lengths = lengths - np.bincount(owner, minlength=len(lengths))
+            # only pairs beside a new symbol have changed
+            at = at - np.arange(len(at))
+            piece[at] = -1
+            near = np.concatenate((at, at[at > 0] - 1))
+            near = near[near + 1 < len(symbols)]
+            near = near[word[near] == word[near + 1]]
+            piece[near] = self.pairs(symbols[near], symbols[near + 1])
         if not results:
             return symbols, lengths
         order = np.concatenate([r[0] for r in results])
@@ -151,27 +165,14 @@ class PieceModel:
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """The ids of each word as little-endian unsigned 32-bit numbers."""
-        strange: list[str] = []
-        extra: dict[str, int] = {}
-
-        def symbol(char: str) -> int:
-            got = self.char_ids.get(char)
-            if got is None:
-                got = extra.get(char)
-                if got is None:
-                    got = extra[char] = self.size + len(strange)
-                    strange.append(char)
-            return got
-
-        joined = "".join(words)
-        get = self.char_ids.get
-        chars = [get(c, -1) for c in joined]
-        symbols = np.array(chars, np.int64)
-        for i in np.flatnonzero(symbols < 0).tolist():
-            symbols[i] = symbol(joined[i])
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+        symbols = self.of_code[codes]
+        unknown = np.flatnonzero(symbols < 0)
+        strange, which = np.unique(codes[unknown], return_inverse=True)
+        symbols[unknown] = self.size + which
         symbols, sizes = self.merge(symbols, np.fromiter(map(len, words), np.int64, len(words)))
-        if strange:  # characters outside the vocabulary become their bytes
-            as_bytes = [self.byte_ids[list(c.encode())] for c in strange]
+        if len(strange):  # characters outside the vocabulary become their bytes
+            as_bytes = [self.byte_ids[list(chr(c).encode())] for c in strange.tolist()]
             counts = np.ones(len(symbols), np.int64)
             out = symbols >= self.size
             counts[out] = [len(as_bytes[s - self.size]) for s in symbols[out].tolist()]
@@ -195,10 +196,10 @@ class Encoder:
         """Ids with begin and end as little-endian unsigned 32-bit numbers; null counts as empty."""
         split = [_WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         cache = self.cache
-        fresh = list({w for words in split for w in words if w not in cache})
+        fresh = list(set().union(*split).difference(cache))
         if len(cache) + len(fresh) > self.cache_words:
             cache.clear()
-            fresh = list({w for words in split for w in words})
+            fresh = list(set().union(*split))
         start = symbols = 0
         for i, word in enumerate(fresh):
             symbols += len(word)
