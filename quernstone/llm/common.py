@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -55,7 +56,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             if batch.num_rows:
                 yield batch
             continue
-        lengths = [x or 0 for x in pa.compute.binary_length(column).to_pylist()]
+        lengths = [x or 0 for x in pc.binary_length(column).to_pylist()]
         start = total = 0
         for i, n in enumerate(lengths):
             if i > start and total + n > limit:
