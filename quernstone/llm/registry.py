@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, pieces, pii, simhash
+from . import decontaminate, exact_dedup, pieces, pii, quality, simhash, toxicity
 from .common import table
 
 QUERIES = {
+    "op2_toxicity": lambda spark, sf_dir: toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op3_pieces": lambda spark, sf_dir: pieces.piece_digest(table(spark, sf_dir, "documents")),
+    "op4_quality": lambda spark, sf_dir: quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op5_pii": lambda spark, sf_dir: pii.pii_digest(table(spark, sf_dir, "documents")),
     "op6_simhash": lambda spark, sf_dir: simhash.simhash_digest(table(spark, sf_dir, "documents")),
     "op7_exact_dedup": lambda spark, sf_dir: exact_dedup.exact_dedup(table(spark, sf_dir, "documents")),
