@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, pieces, pii, quality, simhash, toxicity
+from . import decontaminate, exact_dedup, line_dedup, pieces, pii, quality, simhash, toxicity
 from .common import table
 
 QUERIES = {
@@ -12,11 +12,13 @@ QUERIES = {
     "op5_pii": lambda spark, sf_dir: pii.pii_digest(table(spark, sf_dir, "documents")),
     "op6_simhash": lambda spark, sf_dir: simhash.simhash_digest(table(spark, sf_dir, "documents")),
     "op7_exact_dedup": lambda spark, sf_dir: exact_dedup.exact_dedup(table(spark, sf_dir, "documents")),
+    "op8_line_dedup": lambda spark, sf_dir: line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")),
     "op10_decontaminate": lambda spark, sf_dir: decontaminate.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
 }
 
 ORACLES = {
     "op5_pii": pii.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
+    "op8_line_dedup": line_dedup.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
 }
