@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, line_dedup, pieces, pii, quality, simhash, token_output, toxicity
+from . import decontaminate, exact_dedup, html_extract, line_dedup, pieces, pii, quality, simhash, token_output, toxicity
 from .common import table
 
 QUERIES = {
+    "op1_html_extract": lambda spark, sf_dir: html_extract.main_text(table(spark, sf_dir, "pages")),
     "op2_toxicity": lambda spark, sf_dir: toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op3_pieces": lambda spark, sf_dir: pieces.piece_digest(table(spark, sf_dir, "documents")),
     "op4_quality": lambda spark, sf_dir: quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
