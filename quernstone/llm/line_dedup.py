@@ -118,9 +118,11 @@ def line_limits(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFr
     return rows, limits.where((F.col("copies") > 1) | (F.col("least") < F.col("first"))).select("k1", "k2", F.struct("least.id", "least.at").alias("least"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", counts: bool = True) -> DataFrame:
     """docs with the later matching lines taken out of its text, followed by n_lines and n_removed; no row goes.
 
+    Without counts the columns are those of docs.
+
     Defined cases: a null text stays null and has no lines, an empty text has one; lines without words always stay and
     match nothing; a line of three words or fewer matches equal sets only; of lines at one place (rows that repeat a
     key) none is later than the other; a null key comes before all others. Columns named n_lines or n_removed are
@@ -129,7 +131,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     rows, limits = line_limits(docs, key, text)
     gone = rows.select("id", "tx", "at", "k1", "k2").join(limits, ["k1", "k2"]).where(F.struct("id", "at") > F.col("least"))
     gone = gone.groupBy(F.col("id").alias("gone_id"), F.col("tx").alias("gone_tx")).agg(F.collect_set("at").alias("gone_at"))
-    others = [c for c in docs.columns if c not in (text, "n_lines", "n_removed")]
+    made = ("n_lines", "n_removed") if counts else ()
+    others = [c for c in docs.columns if c not in (text, *made)] or [key]
     whole = F.col(f"`{text}`")
     frame = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col(f"`{key}`").alias("id"), whole.alias("text"), F.xxhash64(F.coalesce(whole, F.lit(""))).alias("tx"))
     joined = frame.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("tx") == F.col("gone_tx")), "left")
@@ -137,12 +140,10 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone_at"))
     rest = F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n")
     shown = {text: F.when(F.col("gone_at").isNull(), F.col("text")).otherwise(rest)}
-    order = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return joined.select(
-        *[shown.get(c, F.col(f"row.`{c}`")).alias(c) for c in order],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone_at"), F.lit(0)).cast("long").alias("n_removed"),
-    )
+    shown["n_lines"] = F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long")
+    shown["n_removed"] = F.coalesce(F.size("gone_at"), F.lit(0)).cast("long")
+    wanted = [c for c in docs.columns if c not in made]
+    return joined.select(*[(shown[c] if c == text else F.col(f"row.`{c}`")).alias(c) for c in wanted], *[shown[c].alias(c) for c in made])
 
 
 ORACLE = r"""
