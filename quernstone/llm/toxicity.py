@@ -102,24 +102,28 @@ class Network:
 
     def learn_evidence(self, words: Words, labels: np.ndarray) -> None:
         """Shrunken log-odds of the label for each bucket, by the number of texts that have it; rare buckets say nothing."""
-        doc = np.repeat(np.arange(len(words.doc_lengths)), words.doc_lengths)
-        pairs = np.unique(doc * len(words.word) + words.index)
-        doc, word = pairs // len(words.word), pairs % len(words.word)
         n1 = max(1, int(labels.sum()))
         n0 = max(1, len(labels) - n1)
-
-        def evidence(bucket: np.ndarray, owner: np.ndarray) -> np.ndarray:
-            seen = np.unique(owner * FINE + bucket)
-            owner, bucket = seen // FINE, seen % FINE
-            c1 = np.bincount(bucket, weights=labels[owner], minlength=FINE)
-            total = np.bincount(bucket, minlength=FINE)
-            odds = np.log((c1 + 0.5) / (n1 + 1)) - np.log((total - c1 + 0.5) / (n0 + 1))
+        seen = {kind: np.zeros((2, FINE), np.int32) for kind in ("word", "gram")}
+        for at in range(0, len(labels), 128):  # some texts at a time: each text counts a bucket once
+            docs = slice(at, at + 128)
+            index = words.index[words.doc_starts[at] : words.doc_starts[docs][-1] + words.doc_lengths[docs][-1]]
+            doc = np.repeat(np.arange(len(labels[docs])), words.doc_lengths[docs])
+            pairs = np.unique(doc * len(words.word) + index)
+            doc, word = pairs // len(words.word), pairs % len(words.word)
+            counts = words.n_grams[word]
+            flat = np.repeat(words.gram_starts[word] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+            for kind, bucket, owner in (("word", words.word[word], doc), ("gram", words.gram[flat], np.repeat(doc, counts))):
+                once = np.unique(owner * FINE + bucket)
+                np.add.at(seen[kind], (labels[docs][once // FINE], once % FINE), 1)
+
+        def evidence(kind: str) -> np.ndarray:
+            c0, c1 = seen[kind]
+            total = c0 + c1
+            odds = np.log((c1 + 0.5) / (n1 + 1)) - np.log((c0 + 0.5) / (n0 + 1))
             return (np.clip(odds, -4, 4) * (total >= 3) * total / (total + 4)).astype(np.float16)
 
-        self.word_evidence = evidence(words.word[word].astype(np.int64), doc)
-        counts = words.n_grams[word]
-        flat = np.repeat(words.gram_starts[word], counts) + np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-        self.gram_evidence = evidence(words.gram[flat].astype(np.int64), np.repeat(doc, counts))
+        self.word_evidence, self.gram_evidence = evidence("word"), evidence("gram")
 
     def inputs(self, words: Words) -> np.ndarray:
         """One row for each distinct word."""
@@ -138,8 +142,12 @@ class Network:
 
     def projected(self, x: np.ndarray) -> np.ndarray:
         """Each distinct word's share of the gates, forward and backward; a last row of zeros stands for no word."""
-        out = np.concatenate([x @ self.p[f"w{way}"] + self.p[f"b{way}"] for way in "fb"], 1)
-        return np.concatenate([out, np.zeros((1, out.shape[1]), np.float32)])
+        out = np.zeros((len(x) + 1, 6 * HIDDEN), np.float32)
+        for k, way in enumerate("fb"):
+            own = out[:-1, k * 3 * HIDDEN : (k + 1) * 3 * HIDDEN]
+            np.matmul(x, self.p[f"w{way}"], out=own)
+            own += self.p[f"b{way}"]
+        return out
 
     def run(self, gates: np.ndarray, rows: np.ndarray, keep: dict | None = None) -> np.ndarray:
         """Logits of windows of distinct-word numbers. keep: gets what the gradients need."""
@@ -240,6 +248,7 @@ def fit(rows: list[tuple[bytes, int]], seed: int = 7) -> Network:
     net.p["c"][:] = prior
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
+    few = min(max(len(rows) * EPOCHS[1] // STEPS, 8), BATCH)  # few texts: smaller batches, so as many steps
     epochs = min(max(-(-STEPS * BATCH // len(rows)), EPOCHS[0]), EPOCHS[1])
     for epoch in range(epochs):
         if epoch == 0:  # before the first step: the window with the strongest evidence
