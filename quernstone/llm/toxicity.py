@@ -249,7 +249,7 @@ def fit(rows: list[tuple[bytes, int]], seed: int = 7) -> Network:
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
     few = min(max(len(rows) * EPOCHS[1] // STEPS, 8), BATCH)  # few texts: smaller batches, so as many steps
-    epochs = min(max(-(-STEPS * BATCH // len(rows)), EPOCHS[0]), EPOCHS[1])
+    epochs = min(max(-(-STEPS * few // len(rows)), EPOCHS[0]), EPOCHS[1])
     for epoch in range(epochs):
         if epoch == 0:  # before the first step: the window with the strongest evidence
             start, size, doc = words.windows()
@@ -262,8 +262,8 @@ def fit(rows: list[tuple[bytes, int]], seed: int = 7) -> Network:
         chosen = rng.permutation(chosen)
         x = net.inputs(words)
         rate = RATE * (1 - epoch / epochs)
-        for at in range(0, len(chosen), BATCH):
-            part = chosen[at : at + BATCH]
+        for at in range(0, len(chosen), few):
+            part = chosen[at : at + few]
             windows, y = words.rows(start[part], size[part]), labels[doc[part]].astype(np.float32)
             used = np.unique(windows[windows >= 0])
             windows = np.where(windows >= 0, np.searchsorted(used, windows), -1)
