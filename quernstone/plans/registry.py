@@ -249,6 +249,41 @@ def _csv(spark, sf_dir):
     return engine.sql("SELECT COUNT(s_suppkey), SUM(s_suppkey) GROUP BY s_nationkey")
 
 
+RESIDENT, THRESHOLD = 1 << 24, 1 << 23
+
+
+@_frame("scan_threshold", f"SELECT count(*) AS n, CAST(sum(range) AS BIGINT) AS total, min(range) AS low, max(range) AS high FROM range({RESIDENT}) WHERE range > {THRESHOLD}")
+def _scan(spark, sf_dir):
+    """The resident column 0, 1, 2, ... scanned for values over a threshold, all aggregates in one pass."""
+    v = F.col("id")
+    return spark.range(RESIDENT).where(matches(v, Kind.U32, Cmp.GT, THRESHOLD)).agg(*[aggregate(a, v, Kind.U32).alias(n) for n, a in _TERMS])
+
+
+@_frame("scan_accounting", f"SELECT 10 * count(*) AS scanned FROM range({RESIDENT}) WHERE range > {THRESHOLD}")
+def _accounting(spark, sf_dir):
+    """Ten threshold scans, one in each thousand of ten thousand operations."""
+    scans = spark.range(10_000).where("id % 1000 = 999").count()
+    return spark.range(RESIDENT).where(F.col("id") > THRESHOLD).agg((F.count(F.lit(1)) * scans).alias("scanned"))
+
+
+@_frame("two_dataset_alignment", "SELECT CAST(sum(o_custkey) AS BIGINT) AS sum_o_custkey FROM (SELECT o_custkey, row_number() OVER () AS r FROM orders) JOIN (SELECT o_orderstatus AS s, row_number() OVER () AS r FROM orders) USING (r) WHERE s = 'O'")
+def _aligned(spark, sf_dir):
+    """A filter on a column of another dataset, which joins by row number."""
+    engine = _engine(spark, sf_dir, "orders")
+    engine.catalog.register("other", _read(spark, sf_dir, "orders").select("o_orderstatus"), {"o_orderstatus": Kind.STR})
+    engine.catalog._numbered["other"] = numbered_file(_read(spark, sf_dir, "orders")).select(RID, "o_orderstatus")
+    return engine.sql("SELECT SUM(o_custkey) WHERE o_orderstatus = 'O'")
+
+
+@_frame("wal_replay_by_transaction", """WITH w AS (SELECT user_id AS key, event_id AS value, event_id AS seq, event_id // 10 AS txn, CASE event_type WHEN 'purchase' THEN 'W' WHEN 'view' THEN 'T' WHEN 'error' THEN 'C' END AS op FROM events),
+c AS (SELECT txn, max(seq) AS e FROM w WHERE op = 'C' GROUP BY txn),
+u AS (SELECT key, value, seq, seq AS e FROM w WHERE op = 'W' UNION ALL SELECT key, value, seq, c.e FROM w JOIN c ON w.txn = c.txn WHERE op = 'T')
+SELECT key, arg_max(value, (e, seq)) AS value FROM u GROUP BY key""")
+def _replay_by_txn(spark, sf_dir):
+    op = F.when(F.col("event_type") == "purchase", "WRITE").when(F.col("event_type") == "view", "TXN").when(F.col("event_type") == "error", "COMMIT")
+    return kv.replay_by_transaction(_log(spark, sf_dir).withColumn("op", op).withColumn("txn", F.expr("seq div 10")).where("op IS NOT NULL"))
+
+
 @_frame("tier_plan")
 def _tiers(spark, sf_dir):
     """Heat and tier of three columns over a trace of scans with room for two of them."""
