@@ -17,54 +17,70 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import written
 
-BUCKETS_LOG2, HOT_LOG2 = 22, 8
-_SPACE = r"[\x20\x09-\x0D]+"
+BUCKETS_LOG2, HOT_LOG2 = 20, 8
 _LEVEL_SHIFT = 57
 _MASK = (1 << _LEVEL_SHIFT) - 1
+_OTHER_SPACE = "\t\x0b\f\r"
 
 
 def words(line: Column) -> Column:
-    return F.filter(F.split(line, _SPACE), lambda w: w != "")
+    """Words of a line of lines(), where a space is the only white space."""
+    return F.array_remove(F.split(line, " "), "")
 
 
-def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """id, tx (a hash of the whole text, which tells rows of one key apart), at, line: every line that has words."""
+def marked(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """id, tx (a hash of the whole text, which tells rows of one key apart) and text."""
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{key}`").alias("id"), F.xxhash64(whole).alias("tx"), F.posexplode(F.split(whole, "\n")).alias("at", "line"))
-    return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    return docs.select(F.col(f"`{key}`").alias("id"), F.xxhash64(whole).alias("tx"), whole.alias("text"))
+
+
+def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """id, tx, at, line: every line that has words, with a space for any white space."""
+    whole = F.when(F.col("text").rlike(f"[{_OTHER_SPACE}]"), F.translate("text", _OTHER_SPACE, "    ")).otherwise(F.col("text"))
+    rows = marked(docs, key, text).select("id", "tx", F.posexplode(F.split(whole, "\n")).alias("at", "line"))
+    return rows.where(F.trim("line") != "")
+
+
+def bucket(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - BUCKETS_LOG2).cast("int")
 
 
-def rarity(found: DataFrame) -> bytes:
-    """One byte for each bucket: 48 and twice the logarithm of how often its words occur. Its size is fixed."""
-    bucket = F.shiftrightunsigned(F.xxhash64("w"), 64 - BUCKETS_LOG2).cast("int").alias("b")
-    counts = found.select(F.explode(words(F.col("line"))).alias("w")).select(bucket).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    level = F.least(F.floor(2 * F.log2("n")), F.lit(63)).cast("int")
-    every = found.sparkSession.range(1 << BUCKETS_LOG2).select(F.col("id").cast("int").alias("b"), F.lit(0).alias("v"))
-    filled = counts.select("b", level.alias("v")).union(every).groupBy("b").agg(F.max("v").alias("v"))
+def sketch(values: DataFrame) -> str:
+    """The largest v of each bucket b, 0 where there is none, as a JSON array. Its size is fixed."""
+    every = values.sparkSession.range(1 << BUCKETS_LOG2).select(F.col("id").cast("int").alias("b"), F.lit(0).alias("v"))
+    filled = values.select("b", "v").union(every).groupBy("b").agg(F.max("v").alias("v"))
     parts = filled.groupBy(F.shiftright("b", 11).alias("g")).agg(F.sort_array(F.collect_list(F.struct("b", "v"))).alias("e"))
-    parts = parts.select("g", F.array_join(F.transform("e", lambda x: F.char(x["v"] + 48)), "").alias("e"))
-    return "".join(r.e for r in sorted(parts.collect())).encode()
+    parts = parts.select("g", F.concat_ws(",", F.transform("e", lambda x: x["v"].cast("string"))).alias("e"))
+    return "[" + ",".join(r.e for r in sorted(parts.collect())) + "]"
 
 
-def keyed(found: DataFrame, levels: bytes) -> DataFrame:
-    """id, tx, at, n (distinct words), k1, k2 (128 bits of the set), lead: the prefix for 0.8 and one word more.
+def looked_up(table: str, h: Column) -> Column:
+    """The value of h's bucket; the table is one constant of the plan."""
+    return F.get(F.from_json(F.lit(table), "array<tinyint>"), bucket(h))
+
+
+def rarity(found: DataFrame) -> str:
+    """For each bucket of words twice the logarithm of how often they occur."""
+    counts = found.select(F.explode(words(F.col("line"))).alias("w")).select(bucket(F.xxhash64("w")).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    return sketch(counts.select("b", F.least(F.floor(2 * F.log2("n")), F.lit(63)).cast("int").alias("v")))
 
-    lead has the rarest words as numbers: 0 for a word that occurs once only, so that no two lines can share it, and
-    negative numbers for hot words, which may occur more than 2 ** HOT_LOG2 times."""
-    table = F.lit(levels)
 
-    def packed(w):
-        h = F.xxhash64(w)
-        place = F.shiftrightunsigned(h, 64 - BUCKETS_LOG2).cast("int") + 1
-        level = F.ascii(F.substring(table, place, F.lit(1)).cast("string")) - 48
-        return F.shiftleft(level.cast("long"), _LEVEL_SHIFT).bitwiseOR(h.bitwiseAND(F.lit(_MASK)))
+def keyed(found: DataFrame, levels: str) -> DataFrame:
+    """id, tx, at, n (distinct words), k1 and sig (each 64 bits of the set), lead: the prefix for 0.8 and one word more.
 
-    rows = found.select("id", "tx", "at", F.sort_array(F.array_distinct(F.transform(words(F.col("line")), packed))).alias("s"))
-    rows = rows.select("id", "tx", "at", F.size("s").alias("n"), F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(7), "s").alias("k2"), "s")
+    lead has the rarest words as numbers: 0 for a word that occurs once only, so that no two lines can share it, and
+    negative numbers for hot words, which may occur more than 2 ** HOT_LOG2 times. Bit b of sig is the parity of the
+    words with hash b modulo 64, so two sets differ in at least as many words as their sigs in bits.
+    """
+    hashes = F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w)))
+    packed = lambda h: F.shiftleft(looked_up(levels, h).cast("long"), _LEVEL_SHIFT).bitwiseOR(h.bitwiseAND(F.lit(_MASK)))
+    flip = lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))
+    rows = found.select("id", "tx", "at", F.sort_array(F.transform(hashes, packed)).alias("s"))
+    rows = rows.select("id", "tx", "at", F.size("s").alias("n"), F.xxhash64("s").alias("k1"), F.aggregate("s", F.lit(0).cast("long"), flip).alias("sig"), "s")
     mark = lambda x: F.hash(x).bitwiseAND(F.lit((1 << 30) - 1)) + 1
     lead = lambda x: F.when(x <= _MASK, F.lit(0)).when(F.shiftright(x, _LEVEL_SHIFT) > 2 * HOT_LOG2, -mark(x)).otherwise(mark(x))
     short = F.transform(F.slice("s", F.lit(1), prefix(F.col("n")) + 1), lead)
-    return rows.select("id", "tx", "at", "n", "k1", "k2", F.when(F.col("n") > 3, short).otherwise(F.array().cast("array<int>")).alias("lead"))
+    return rows.select("id", "tx", "at", "n", "k1", "sig", F.when(F.col("n") > 3, short).otherwise(F.array().cast("array<int>")).alias("lead"))
 
 
 def prefix(n: Column) -> Column:
@@ -93,7 +109,10 @@ def candidates(classes: DataFrame) -> DataFrame:
     na, nb = F.col("a.n"), F.col("b.n")
     near = (5 * na >= 4 * nb) & (5 * nb >= 4 * na) & (F.least(na - F.col("a.pos"), nb - F.col("b.pos")) >= overlap(na, nb))
     pairs = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.cid") < F.col("b.cid")) & near)
-    return pairs.select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).distinct()
+    pairs = pairs.select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).distinct()
+    sides = [classes.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab"]
+    differ = F.bit_count(F.col("sig_a").bitwiseXOR(F.col("sig_b"))) <= F.col("n_a") + F.col("n_b") - 2 * overlap(F.col("n_a"), F.col("n_b"))
+    return pairs.join(sides[0], "a").join(sides[1], "b").where(differ).select("a", "b")
 
 
 def line_limits(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -101,21 +120,23 @@ def line_limits(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFr
     found = lines(docs, key, text)
     rows = written(keyed(found, rarity(found)), "lines")
     place = F.struct("id", "at", "tx")
-    classes = rows.groupBy("k1", "k2", "n", "lead").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"))
+    classes = rows.groupBy("k1", "sig", "n", "lead").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     pairs = written(candidates(classes), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    reps = classes.join(wanted, "cid").select("cid", "first", F.col("first.id").alias("id"), F.col("first.at").alias("at"), F.col("first.tx").alias("tx"))
-    same = lambda x, y: x["id"].eqNullSafe(y["id"]) & (x["at"] == y["at"]) & (x["tx"] == y["tx"])
-    sets = found.join(reps, same(found, reps)).select(reps["cid"], reps["first"], F.array_distinct(words(F.col("line"))).alias("s")).dropDuplicates(["cid"])
+    reps = written(classes.join(wanted, "cid").select("cid", "first", F.xxhash64("first").alias("h")), "reps")
+    # only lines whose place may be that of a wanted class are moved to it
+    maybe = looked_up(sketch(reps.select(bucket(F.col("h")).alias("b"), F.lit(1).alias("v"))), F.xxhash64(place)) == 1
+    texts = found.where(maybe).select(place.alias("p"), F.xxhash64(place).alias("h"), F.array_distinct(words(F.col("line"))).alias("s"))
+    sets = texts.join(reps, "h").where(F.col("p").eqNullSafe(F.col("first"))).select("cid", "first", "s").dropDuplicates(["cid"])
     sets = written(sets, "sets")
     a, b = sets.select(*[F.col(c).alias(f"{c}_a") for c in sets.columns]), sets.select(*[F.col(c).alias(f"{c}_b") for c in sets.columns])
     both = pairs.join(a, F.col("a") == F.col("cid_a")).join(b, F.col("b") == F.col("cid_b"))
     alike = both.where(9 * F.size(F.array_intersect("s_a", "s_b")) >= 4 * (F.size("s_a") + F.size("s_b")))
     met = alike.select(F.explode(F.array(F.struct(F.col("a").alias("cid"), F.col("first_b").alias("f")), F.struct(F.col("b").alias("cid"), F.col("first_a").alias("f")))).alias("e"))
     met = met.select("e.*").groupBy("cid").agg(F.min("f").alias("f"))
-    limits = classes.join(met, "cid", "left").select("k1", "k2", "copies", "first", F.least("first", "f").alias("least"))
-    return rows, limits.where((F.col("copies") > 1) | (F.col("least") < F.col("first"))).select("k1", "k2", F.struct("least.id", "least.at").alias("least"))
+    limits = classes.join(met, "cid", "left").select("k1", "sig", "copies", "first", F.least("first", "f").alias("least"))
+    return rows, limits.where((F.col("copies") > 1) | (F.col("least") < F.col("first"))).select("k1", "sig", F.struct("least.id", "least.at").alias("least"))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", counts: bool = True) -> DataFrame:
@@ -129,13 +150,20 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", counts
     replaced, others stay.
     """
     rows, limits = line_limits(docs, key, text)
-    gone = rows.select("id", "tx", "at", "k1", "k2").join(limits, ["k1", "k2"]).where(F.struct("id", "at") > F.col("least"))
-    gone = gone.groupBy(F.col("id").alias("gone_id"), F.col("tx").alias("gone_tx")).agg(F.collect_set("at").alias("gone_at"))
+    gone = rows.select("id", "tx", "at", "k1", "sig").join(limits, ["k1", "sig"]).where(F.struct("id", "at") > F.col("least"))
+    gone = gone.groupBy("id", "tx").agg(F.collect_set("at").alias("gone_at"))
+    gone = written(gone.select(F.struct("id", "tx").alias("gone_from"), "gone_at"), "gone")
     made = ("n_lines", "n_removed") if counts else ()
     others = [c for c in docs.columns if c not in (text, *made)] or [key]
     whole = F.col(f"`{text}`")
-    frame = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col(f"`{key}`").alias("id"), whole.alias("text"), F.xxhash64(F.coalesce(whole, F.lit(""))).alias("tx"))
-    joined = frame.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("tx") == F.col("gone_tx")), "left")
+    mark = F.struct(F.col(f"`{key}`").alias("id"), F.xxhash64(F.coalesce(whole, F.lit(""))).alias("tx"))
+    frame = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), mark.alias("mark"), whole.alias("text"))
+    # documents that surely lose no line stay where they are
+    maybe = looked_up(sketch(gone.select(bucket(F.xxhash64("gone_from")).alias("b"), F.lit(1).alias("v"))), F.xxhash64("mark")) == 1
+    moved = frame.where(maybe).withColumn("h", F.xxhash64("mark"))
+    gone = gone.withColumn("h", F.xxhash64("gone_from"))
+    joined = moved.join(gone, (moved["h"] == gone["h"]) & F.col("mark").eqNullSafe(F.col("gone_from")), "left").select("row", "text", "gone_at")
+    joined = joined.unionByName(frame.where(~maybe).select("row", "text", F.lit(None).cast("array<int>").alias("gone_at")))
     split = F.split("text", "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone_at"))
     rest = F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n")
