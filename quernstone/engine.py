@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 from . import metrics
 from .catalog import RID, Catalog, numbered_file
 from .model import Kind, Query, QueryError, Status
-from .plans.planner import GROUP_CAP, Planner
+from .plans.planner import Planner
 from .sources import snapshot
 from .sources.store import Store
 from .sources.text import read_columns
@@ -15,7 +15,7 @@ from .tiering import COLD, HOST, Tiering
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, store: str | None = None, group_cap: int = GROUP_CAP, compat: bool = False, budget: int = 1 << 40):
+    def __init__(self, spark: SparkSession, store: str | None = None, group_cap: int | None = None, compat: bool = False, budget: int = 1 << 40):
         self.spark, self.catalog = spark, Catalog(spark)
         self.planner = Planner(self.catalog, group_cap, compat)
         self.store = Store(spark, store) if store else None

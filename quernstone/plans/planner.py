@@ -21,7 +21,10 @@ def title(agg: Agg, column: str | None) -> str:
 
 
 class Planner:
-    def __init__(self, catalog: Catalog, group_cap: int = GROUP_CAP, compat: bool = False):
+    """group_cap: the most groups by the largest key that are admitted. Dense groups always have a cap; other groups
+    take no room for absent keys, so their keys are looked at beforehand only where a cap was set."""
+
+    def __init__(self, catalog: Catalog, group_cap: int | None = None, compat: bool = False):
         self.catalog, self.group_cap, self.compat = catalog, group_cap, compat
 
     def sql(self, text: str) -> DataFrame:
@@ -79,7 +82,7 @@ class Planner:
             raise QueryError(Status.PARSE, f"GROUP BY {name}: the key is {key.kind.value}")
         if any(v.name == name for v in values):
             raise QueryError(Status.INVALID_GROUP, f"{name} is key and value")
-        if key.kind is Kind.U32:
+        if key.kind is Kind.U32 and self.group_cap is not None:
             self._groups(key)
         return key
 
@@ -89,7 +92,7 @@ class Planner:
             raise QueryError(Status.UNSUPPORTED_TYPE, "dense groups need a u32 key")
         largest = self.catalog.frame_for(key).agg(F.max(f"`{key.name}`")).first()[0]
         groups = 0 if largest is None else largest + 1
-        if groups > self.group_cap:
+        if groups > (GROUP_CAP if self.group_cap is None else self.group_cap):
             raise QueryError(Status.TOO_MANY_GROUPS, f"{groups} groups")
         return groups
 
