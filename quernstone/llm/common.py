@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES, ARROW_ROWS = 1 << 20, 300
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,13 +43,41 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder as Parquet and read it back: a compact way to cut lineage for wide rows."""
+    """Write to the shared folder as Parquet and read it back: a compact way to cut lineage for wide rows.
+
+    The steps before it are done with then; a collection on the driver lets Spark's cleaner drop their shuffle files."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(frame: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow with batches of ARROW_ROWS rows, so that a worker holds a few MB of texts at a time. Workers live on
+    from stage to stage: at a task's end they give back what they kept."""
+    frame.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+    def whole_task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return frame.mapInArrow(whole_task, schema)
+
+
+#: What a worker keeps between batches; each is called at a task's end.
+RELEASES: list = []
+
+
+def release() -> None:
+    for give_back in RELEASES:
+        give_back()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the column `text` of each has about `limit` bytes; one long text stays whole."""
     for batch in batches:

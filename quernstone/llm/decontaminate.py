@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import slices
+from .common import map_arrow, slices
 
 WINDOW = 8
 BLOCK_CHARS = 16_000_000
@@ -182,7 +182,7 @@ def scanned(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: i
     )
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in frame.schema.fields])
     for block in item_blocks(benchmark):
-        frame = frame.mapInArrow(_scan(spark.sparkContext.broadcast(SuffixAutomaton(block, window))), schema)
+        frame = map_arrow(frame, _scan(spark.sparkContext.broadcast(SuffixAutomaton(block, window))), schema)
     return frame
 
 

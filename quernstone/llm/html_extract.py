@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices
+from .common import map_arrow, slices
 from .features import Bytes
 from .html_blocks import blocks
 
@@ -293,4 +293,4 @@ def main_text(pages: DataFrame) -> DataFrame:
     """
     shared = pages.sparkSession.sparkContext.broadcast(trained())
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
-    return pages.select("page_id", "url", F.col("html")).mapInArrow(_extract(shared), f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    return map_arrow(pages.select("page_id", "url", F.col("html")), _extract(shared), f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

@@ -19,11 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices
+from .common import RELEASES, map_arrow, slices
 
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 _BATCH_SYMBOLS = 1 << 18
 _NONE = np.int32(2**31 - 1)
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -224,10 +224,13 @@ def _model(path: str) -> PieceModel:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One encoder for each worker process, so that words stay known from batch to batch."""
+    """One encoder for each task, so that words stay known from batch to batch."""
     return Encoder(path)
 
 
+RELEASES.append(encoder.cache_clear)
+
+
 def _encoded(name: str, text: str, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(model_path(name))
@@ -251,7 +254,7 @@ def _apply(docs: DataFrame, text: str, name: str, digest: bool) -> DataFrame:
     frame = docs.select(F.struct(*others).alias("row"), F.col(f"`{text}`").alias("text"))
     kind = frame.schema["row"].dataType.simpleString()
     columns = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "n_tokens long, ids binary, decoded string"
-    return frame.mapInArrow(_encoded(name, text, digest), f"row {kind}, {columns}")
+    return map_arrow(frame, _encoded(name, text, digest), f"row {kind}, {columns}")
 
 
 def encode_decode(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices
+from .common import map_arrow, slices
 from .features import Bytes, grams, held_out, mixed, training_rows
 
 BUCKETS, DIM, SIZES = 1 << 17, 8, (3, 4)
@@ -122,5 +122,5 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, labels, "quality")))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", "text").mapInArrow(_score(shared), f"doc_id {kind}, score double")
+    scored = map_arrow(docs.select("doc_id", "text"), _score(shared), f"doc_id {kind}, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

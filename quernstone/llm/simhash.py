@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpointed, slices
+from .common import checkpointed, map_arrow, slices
 
 BITS, RADIUS, SHINGLE, SEED, CHUNK = 64, 4, 4, 42, 2048
 _BUFFER = 1 << 16
@@ -137,7 +137,7 @@ def links(prints: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFr
     blocks = rows.select("v", "k", "fp", "c", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("o"))
     blocks = blocks.select("v", "k", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "fp")
     placed = blocks.repartition("v", "k", "i", "j").sortWithinPartitions("v", "k", "i", "j", "fp")
-    return placed.mapInArrow(_links(radius), "a long, b long").distinct()
+    return map_arrow(placed, _links(radius), "a long, b long").distinct()
 
 
 def stars(edges: DataFrame) -> DataFrame:
@@ -166,7 +166,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
     repeated rows each get a row. An empty table gives an empty result. Other columns are not read.
     """
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    prints = checkpointed(rows.mapInArrow(_fingerprints(shingle), f"id {dict(rows.dtypes)['id']}, fp long"))
+    prints = checkpointed(map_arrow(rows, _fingerprints(shingle), f"id {dict(rows.dtypes)['id']}, fp long"))
     distinct = prints.groupBy("fp").agg(F.min("id").alias("first"))
     roots = stars(links(distinct.select("fp"), radius))
     placed = distinct.join(roots, distinct.fp == roots.a, "left").select("fp", "first", F.coalesce("b", "fp").alias("root"))

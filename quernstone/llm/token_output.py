@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices, written
+from .common import map_arrow, slices, written
 
 VOCABULARY, SEPARATOR = "byte_bpe_50k.tiktoken", 50256
 LENGTH, PER_SHARD, KEY, ROUNDS = 2048, 4096, 0x5EED, 6
@@ -133,7 +133,7 @@ def materialise(docs: DataFrame, key: str = "doc_id", text: str = "text", length
     """
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    packed = written(rows.mapInArrow(_pack(vocabulary, length), f"part int, nth long, n_tokens int, doc_ids array<{kind}>, tokens binary"), "sequences")
+    packed = written(map_arrow(rows, _pack(vocabulary, length), f"part int, nth long, n_tokens int, doc_ids array<{kind}>, tokens binary"), "sequences")
     # one row for each task that packed: as many as input splits, whatever they hold
     counts = sorted((r.part, r.n) for r in packed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
     total = sum(n for _, n in counts)
@@ -188,7 +188,7 @@ def write_shards(sequences: DataFrame, folder: str) -> DataFrame:
             close()
         yield pa.RecordBatch.from_pydict({"shard": pa.array([d[0] for d in done], pa.int64()), "n": pa.array([d[1] for d in done], pa.int64()), "sha256": pa.array([d[2] for d in done], pa.string())})
 
-    return sequences.select("shard", "tokens").mapInArrow(run, "shard long, n long, sha256 string")
+    return map_arrow(sequences.select("shard", "tokens"), run, "shard long, n long, sha256 string")
 
 
 def finish(manifest: DataFrame, folder: str, length: int = LENGTH, per_shard: int = PER_SHARD, seed: int = KEY) -> dict:

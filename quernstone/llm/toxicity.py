@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices
+from .common import map_arrow, slices
 from .decontaminate import _FOLD
 from .features import Bytes, grams, held_out, training_rows
 
@@ -287,7 +287,7 @@ def fit(rows: list[tuple[bytes, int]], seed: int = 7) -> Network:
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             scores = net.scores([(t or "").encode() for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "score"])
 
@@ -298,7 +298,7 @@ def _scored(docs: DataFrame, labels: DataFrame, others: list) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, labels, "toxic")))
     frame = docs.select(*others, F.col("text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:-1])
-    return frame.mapInArrow(_score(shared), f"{kinds}, score double")
+    return map_arrow(frame, _score(shared), f"{kinds}, score double")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
