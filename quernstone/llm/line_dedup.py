@@ -3,11 +3,11 @@
 A line is the set of its white-space words. Lines of equal sets form a class. Two classes match at a Jaccard similarity
 of 0.8 or more; a line goes if a line of its own or a matching class comes before it (by key, then line number).
 
-Words are ordered by rarity: occurrences are counted over the whole corpus in 2 ** 22 hash buckets, whose logarithms
-travel to the tasks as one array of fixed size. Any order that depends on the word alone makes the prefix filter exact,
-so a bucket that several words share costs candidates, never matches. Classes meet on the rarest words (prefix filter);
-length and position filters drop most of the meetings, and what is left is verified on the words themselves. A word
-that leads too many classes is refined to pairs of words: two classes that share it must share a second word in
+Words are ordered by rarity: occurrences are counted over the whole corpus in 2 ** 21 hash buckets, whose logarithms
+reach the tasks as one scalar subquery of fixed size. Any order that depends on the word alone makes the prefix filter
+exact, so a bucket that several words share costs candidates, never matches. Classes meet on the rarest words (prefix
+filter); length, position and parity filters drop meetings inside the join, and what is left is verified on the words
+themselves. A hot word is refined to pairs of words: two classes whose first common word it is share a second word in
 prefixes that are one word longer.
 """
 
@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import written
 
-BUCKETS_LOG2, HOT_LOG2 = 20, 8
+RARITY_LOG2, PLACES_LOG2, HOT_LOG2 = 21, 20, 9
+LONG = 250
 _LEVEL_SHIFT = 57
 _MASK = (1 << _LEVEL_SHIFT) - 1
 _OTHER_SPACE = "\t\x0b\f\r"
@@ -41,42 +42,39 @@ def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.where(F.trim("line") != "")
 
 
-def bucket(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 64 - BUCKETS_LOG2).cast("int")
+def bucket(h: Column, log2: int) -> Column:
+    return F.shiftrightunsigned(h, 64 - log2).cast("int")
 
 
-def sketch(values: DataFrame) -> str:
-    """The largest v of each bucket b, 0 where there is none, as a JSON array. Its size is fixed."""
-    every = values.sparkSession.range(1 << BUCKETS_LOG2).select(F.col("id").cast("int").alias("b"), F.lit(0).alias("v"))
-    filled = values.select("b", "v").union(every).groupBy("b").agg(F.max("v").alias("v"))
+def sketch(values: DataFrame, log2: int) -> Column:
+    """The largest v of each bucket b as one array<tinyint>, 0 where there is none: a scalar of fixed size."""
+    every = values.sparkSession.range(1 << log2).select(F.col("id").cast("int").alias("b"), F.lit(0).alias("v"))
+    filled = values.select("b", "v").union(every).groupBy("b").agg(F.max("v").cast("tinyint").alias("v"))
     parts = filled.groupBy(F.shiftright("b", 11).alias("g")).agg(F.sort_array(F.collect_list(F.struct("b", "v"))).alias("e"))
-    parts = parts.select("g", F.concat_ws(",", F.transform("e", lambda x: x["v"].cast("string"))).alias("e"))
-    return "[" + ",".join(r.e for r in sorted(parts.collect())) + "]"
+    parts = parts.select("g", F.transform("e", lambda x: x["v"]).alias("e"))
+    return parts.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("g", "e"))), lambda x: x["e"])).alias("levels")).scalar()
 
 
-def looked_up(table: str, h: Column) -> Column:
-    """The value of h's bucket; the table is one constant of the plan."""
-    return F.get(F.from_json(F.lit(table), "array<tinyint>"), bucket(h))
-
-
-def rarity(found: DataFrame) -> str:
+def rarity(found: DataFrame) -> Column:
     """For each bucket of words twice the logarithm of how often they occur."""
-    counts = found.select(F.explode(words(F.col("line"))).alias("w")).select(bucket(F.xxhash64("w")).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    return sketch(counts.select("b", F.least(F.floor(2 * F.log2("n")), F.lit(63)).cast("int").alias("v")))
+    counts = found.select(F.explode(words(F.col("line"))).alias("w")).select(bucket(F.xxhash64("w"), RARITY_LOG2).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    return sketch(counts.select("b", F.least(F.floor(2 * F.log2("n")), F.lit(63)).cast("int").alias("v")), RARITY_LOG2)
 
 
-def keyed(found: DataFrame, levels: str) -> DataFrame:
-    """id, tx, at, n (distinct words), k1 and sig (each 64 bits of the set), lead: the prefix for 0.8 and one word more.
+def keyed(found: DataFrame, levels: Column) -> DataFrame:
+    """id, tx, at, n (distinct words), k1 and sig (64 and 32 bits of the set), lead: the prefix for 0.8 and one more.
 
     lead has the rarest words as numbers: 0 for a word that occurs once only, so that no two lines can share it, and
     negative numbers for hot words, which may occur more than 2 ** HOT_LOG2 times. Bit b of sig is the parity of the
-    words with hash b modulo 64, so two sets differ in at least as many words as their sigs in bits.
+    words with hash b modulo 32, so two sets differ in at least as many words as their sigs in bits.
     """
     hashes = F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w)))
-    packed = lambda h: F.shiftleft(looked_up(levels, h).cast("long"), _LEVEL_SHIFT).bitwiseOR(h.bitwiseAND(F.lit(_MASK)))
-    flip = lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))
-    rows = found.select("id", "tx", "at", F.sort_array(F.transform(hashes, packed)).alias("s"))
-    rows = rows.select("id", "tx", "at", F.size("s").alias("n"), F.xxhash64("s").alias("k1"), F.aggregate("s", F.lit(0).cast("long"), flip).alias("sig"), "s")
+    # the scalar stands beside the lambda here; the optimizer moves it inside, where each line reads it in place
+    rows = found.select("id", "tx", "at", hashes.alias("h"), levels.alias("levels"))
+    packed = lambda h: F.shiftleft(F.get("levels", bucket(h, RARITY_LOG2)).cast("long"), _LEVEL_SHIFT).bitwiseOR(h.bitwiseAND(F.lit(_MASK)))
+    flip = lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1), x.bitwiseAND(F.lit(31)).cast("int")))
+    rows = rows.select("id", "tx", "at", F.sort_array(F.transform("h", packed)).alias("s"))
+    rows = rows.select("id", "tx", "at", F.size("s").alias("n"), F.xxhash64("s").alias("k1"), F.aggregate("s", F.lit(0), flip).alias("sig"), "s")
     mark = lambda x: F.hash(x).bitwiseAND(F.lit((1 << 30) - 1)) + 1
     lead = lambda x: F.when(x <= _MASK, F.lit(0)).when(F.shiftright(x, _LEVEL_SHIFT) > 2 * HOT_LOG2, -mark(x)).otherwise(mark(x))
     short = F.transform(F.slice("s", F.lit(1), prefix(F.col("n")) + 1), lead)
@@ -93,50 +91,96 @@ def overlap(a: Column, b: Column) -> Column:
     return F.floor((F.lit(4) * (a + b) + 8) / 9)
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of class numbers that pass the prefix, length and position filters.
+def meetings(classes: DataFrame) -> DataFrame:
+    """cid, n, sig, id, at, pos, w: where each class can meet others.
 
     Two similar classes have a first common word, inside both prefixes. If it is not hot they meet on it. If it is hot
-    they share a second, later word inside prefixes longer by one, and meet on both words.
+    they share a second, later word inside prefixes longer by one, and meet on both words. Classes of more than
+    0.8 LONG words also meet on the hot word alone, since pairs of words would be too many for those beyond LONG.
     """
-    p = prefix(F.col("n"))
+    p, n = prefix(F.col("n")), F.col("n")
+    none = F.array().cast("array<struct<pos:int,w:bigint>>")
     second = lambda w, i: F.transform(
         F.filter(F.slice("lead", i + 2, F.size("lead")), lambda s: s != 0), lambda s: F.struct(i.alias("pos"), F.shiftleft(w.cast("long"), 32).bitwiseOR(s.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("w"))
     )
-    meetings = F.transform("lead", lambda w, i: F.when(i >= p, F.array().cast("array<struct<pos:int,w:bigint>>")).when(w > 0, F.array(F.struct(i.alias("pos"), w.cast("long").alias("w")))).when(w < 0, second(w, i)).otherwise(F.array()))
-    rows = classes.where(F.size("lead") > 0).select("cid", "n", F.explode(F.flatten(meetings)).alias("m")).select("cid", "n", "m.pos", "m.w")
-    a, b = rows.alias("a"), rows.alias("b")
-    na, nb = F.col("a.n"), F.col("b.n")
-    near = (5 * na >= 4 * nb) & (5 * nb >= 4 * na) & (F.least(na - F.col("a.pos"), nb - F.col("b.pos")) >= overlap(na, nb))
-    pairs = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.cid") < F.col("b.cid")) & near)
-    pairs = pairs.select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).distinct()
-    sides = [classes.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab"]
-    differ = F.bit_count(F.col("sig_a").bitwiseXOR(F.col("sig_b"))) <= F.col("n_a") + F.col("n_b") - 2 * overlap(F.col("n_a"), F.col("n_b"))
-    return pairs.join(sides[0], "a").join(sides[1], "b").where(differ).select("a", "b")
+    alone = lambda w, i: F.array(F.struct(i.alias("pos"), w.cast("long").alias("w")))
+    hot = lambda w, i: F.concat(F.when(n <= LONG, second(w, i)).otherwise(none), F.when(5 * n > 4 * LONG, alone(w, i)).otherwise(none))
+    places = F.transform("lead", lambda w, i: F.when((i >= p) | (w == 0), none).when(w > 0, alone(w, i)).otherwise(hot(w, i)))
+    own = ["cid", "n", "sig", F.col("first.id").alias("id"), F.col("first.at").alias("at")]
+    return classes.where(F.size("lead") > 0).select(*own, F.explode(F.flatten(places)).alias("m")).select("cid", "n", "sig", "id", "at", "m.pos", "m.w")
+
+
+def met(later: DataFrame, every: DataFrame) -> DataFrame:
+    """cid, d, y, y_id, y_at: for the classes in later, the earlier classes y that they meet and that pass the length,
+    position and parity filters; d counts differing parity bits. The smaller class of a pair needs the shorter prefix
+    for an overlap of 8/9 only."""
+    a, b = later.alias("a"), every.alias("b")
+    na, nb, pa, pb = F.col("a.n"), F.col("b.n"), F.col("a.pos"), F.col("b.pos")
+    least = overlap(na, nb)
+    short = F.when(na <= nb, pa <= na - overlap(na, na)).otherwise(pb <= nb - overlap(nb, nb))
+    near = (5 * na >= 4 * nb) & (5 * nb >= 4 * na) & short & (F.least(na - pa, nb - pb) >= least)
+    d = F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig")).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    earlier = F.struct("b.id", "b.at") < F.struct("a.id", "a.at")
+    found = a.join(b, (F.col("a.w") == F.col("b.w")) & near & (d <= na + nb - 2 * least) & earlier)
+    return found.select("a.cid", d.alias("d"), F.col("b.cid").alias("y"), F.col("b.id").alias("y_id"), F.col("b.at").alias("y_at"))
+
+
+def matching(pairs: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """cid of the pairs (cid, y) whose lines have a Jaccard similarity of 0.8, from the words themselves."""
+    wanted = pairs.select(F.explode(F.array("cid", "y")).alias("cid")).distinct()
+    reps = written(classes.join(wanted, "cid").select("cid", "first", F.xxhash64("first").alias("h")), "reps")
+    # only lines whose place may be that of a wanted class are moved to it
+    place = F.struct("id", "at", "tx")
+    places = sketch(reps.select(bucket(F.col("h"), PLACES_LOG2).alias("b"), F.lit(1).alias("v")), PLACES_LOG2)
+    maybe = F.get(places, bucket(F.xxhash64(place), PLACES_LOG2)) == 1
+    texts = found.where(maybe).select(place.alias("p"), F.xxhash64(place).alias("h"), "line")
+    distinct = F.array_distinct(words(F.col("line")))
+    flip = lambda half: F.aggregate(
+        F.transform(distinct, lambda w: F.xxhash64(w)), F.lit(0).cast("long"),
+        lambda a, h: F.when(h.bitwiseAND(F.lit(64)) == 64 * half, a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))).otherwise(a),
+    )
+    sets = texts.join(reps, "h").where(F.col("p").eqNullSafe(F.col("first"))).select("cid", "line").dropDuplicates(["cid"])
+    sets = written(sets.select("cid", "line", F.size(distinct).alias("m"), flip(0).alias("s0"), flip(1).alias("s1")), "sets")
+    # 128 parity bits drop most pairs that are not alike before any line is moved to a pair
+    sides = [sets.select(F.col("cid").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("m", "s0", "s1")]) for name in ("cid", "y")]
+    total = F.col("m_cid") + F.col("m_y")
+    differ = sum((F.bit_count(F.col(f"{c}_cid").bitwiseXOR(F.col(f"{c}_y"))) for c in ("s0", "s1")), F.lit(0))
+    close = pairs.join(sides[0], "cid").join(sides[1], "y").where(9 * (total - differ) >= 8 * total).select("cid", "y")
+    x, y = sets.select("cid", F.col("line").alias("x")), sets.select(F.col("cid").alias("y"), F.col("line").alias("z"))
+    both = [F.array_distinct(words(F.col(c))) for c in "xz"]
+    alike = 9 * F.size(F.array_intersect(*both)) >= 4 * (F.size(both[0]) + F.size(both[1]))
+    return close.join(x, "cid").join(y, "y").where(alike).select("cid").distinct()
+
+
+def repeated(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """cid of the classes that an earlier class matches.
+
+    One match is enough, so each class is first held against the earlier class nearest in parity bits, of which the
+    join keeps one for each class and task: a crowd of near copies gives one pair each, not all pairs. Classes that
+    this does not settle are then held against every earlier class they meet.
+    """
+    rows = meetings(classes)
+    nearest = met(rows, rows).groupBy("cid").agg(F.min(F.struct("d", "y_id", "y_at", "y")).alias("m")).select("cid", "m.y")
+    nearest = written(nearest, "nearest")
+    settled = written(matching(nearest, classes, found), "settled")
+    left = nearest.join(settled, "cid", "left_anti")
+    later = written(meetings(classes.join(left.select("cid"), "cid", "left_semi")), "left")
+    words_left = sketch(later.select(bucket(F.xxhash64("w"), PLACES_LOG2).alias("b"), F.lit(1).alias("v")), PLACES_LOG2)
+    others = meetings(classes).where(F.get(words_left, bucket(F.xxhash64("w"), PLACES_LOG2)) == 1)
+    rest = met(later, others).select("cid", "y").distinct().join(nearest, ["cid", "y"], "left_anti")
+    return settled.union(matching(written(rest, "rest"), classes, found))
 
 
 def line_limits(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """All lines by class key, and for classes that lose lines the place that every kept line must not come after."""
+    """All lines by class key, and for classes that lose lines whether all go or all but the first place."""
     found = lines(docs, key, text)
     rows = written(keyed(found, rarity(found)), "lines")
     place = F.struct("id", "at", "tx")
     classes = rows.groupBy("k1", "sig", "n", "lead").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    pairs = written(candidates(classes), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    reps = written(classes.join(wanted, "cid").select("cid", "first", F.xxhash64("first").alias("h")), "reps")
-    # only lines whose place may be that of a wanted class are moved to it
-    maybe = looked_up(sketch(reps.select(bucket(F.col("h")).alias("b"), F.lit(1).alias("v"))), F.xxhash64(place)) == 1
-    texts = found.where(maybe).select(place.alias("p"), F.xxhash64(place).alias("h"), F.array_distinct(words(F.col("line"))).alias("s"))
-    sets = texts.join(reps, "h").where(F.col("p").eqNullSafe(F.col("first"))).select("cid", "first", "s").dropDuplicates(["cid"])
-    sets = written(sets, "sets")
-    a, b = sets.select(*[F.col(c).alias(f"{c}_a") for c in sets.columns]), sets.select(*[F.col(c).alias(f"{c}_b") for c in sets.columns])
-    both = pairs.join(a, F.col("a") == F.col("cid_a")).join(b, F.col("b") == F.col("cid_b"))
-    alike = both.where(9 * F.size(F.array_intersect("s_a", "s_b")) >= 4 * (F.size("s_a") + F.size("s_b")))
-    met = alike.select(F.explode(F.array(F.struct(F.col("a").alias("cid"), F.col("first_b").alias("f")), F.struct(F.col("b").alias("cid"), F.col("first_a").alias("f")))).alias("e"))
-    met = met.select("e.*").groupBy("cid").agg(F.min("f").alias("f"))
-    limits = classes.join(met, "cid", "left").select("k1", "sig", "copies", "first", F.least("first", "f").alias("least"))
-    return rows, limits.where((F.col("copies") > 1) | (F.col("least") < F.col("first"))).select("k1", "sig", F.struct("least.id", "least.at").alias("least"))
+    gone = repeated(classes, found).withColumn("all", F.lit(True))
+    limits = classes.select("cid", "k1", "sig", "copies", "first").join(gone, "cid", "left")
+    return rows, limits.where((F.col("copies") > 1) | F.col("all")).select("k1", "sig", F.struct("first.id", "first.at").alias("first"), F.coalesce("all", F.lit(False)).alias("all"))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", counts: bool = True) -> DataFrame:
@@ -150,7 +194,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", counts
     replaced, others stay.
     """
     rows, limits = line_limits(docs, key, text)
-    gone = rows.select("id", "tx", "at", "k1", "sig").join(limits, ["k1", "sig"]).where(F.struct("id", "at") > F.col("least"))
+    gone = rows.select("id", "tx", "at", "k1", "sig").join(limits, ["k1", "sig"]).where(F.col("all") | (F.struct("id", "at") > F.col("first")))
     gone = gone.groupBy("id", "tx").agg(F.collect_set("at").alias("gone_at"))
     gone = written(gone.select(F.struct("id", "tx").alias("gone_from"), "gone_at"), "gone")
     made = ("n_lines", "n_removed") if counts else ()
@@ -159,7 +203,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", counts
     mark = F.struct(F.col(f"`{key}`").alias("id"), F.xxhash64(F.coalesce(whole, F.lit(""))).alias("tx"))
     frame = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), mark.alias("mark"), whole.alias("text"))
     # documents that surely lose no line stay where they are
-    maybe = looked_up(sketch(gone.select(bucket(F.xxhash64("gone_from")).alias("b"), F.lit(1).alias("v"))), F.xxhash64("mark")) == 1
+    touched = sketch(gone.select(bucket(F.xxhash64("gone_from"), PLACES_LOG2).alias("b"), F.lit(1).alias("v")), PLACES_LOG2)
+    maybe = F.get(touched, bucket(F.xxhash64("mark"), PLACES_LOG2)) == 1
     moved = frame.where(maybe).withColumn("h", F.xxhash64("mark"))
     gone = gone.withColumn("h", F.xxhash64("gone_from"))
     joined = moved.join(gone, (moved["h"] == gone["h"]) & F.col("mark").eqNullSafe(F.col("gone_from")), "left").select("row", "text", "gone_at")

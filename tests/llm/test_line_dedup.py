@@ -58,10 +58,12 @@ def test_against_brute_force(spark):
 def test_hot_words_are_refined_without_loss(spark, monkeypatch):
     monkeypatch.setattr(L, "HOT_LOG2", 0)
     compare(spark, case(2, 60))
+    monkeypatch.setattr(L, "LONG", 8)
+    compare(spark, case(4, 60))
 
 
 def test_shared_rare_buckets_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(L, "BUCKETS_LOG2", 12)
+    monkeypatch.setattr(L, "RARITY_LOG2", 11)
     compare(spark, case(3))
 
 
