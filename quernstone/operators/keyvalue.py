@@ -41,9 +41,9 @@ def replay(log: DataFrame) -> DataFrame:
     size = 1 << 16
     rows = log.withColumn("_bucket", F.floor(F.col("seq") / size))
     commit = F.when(F.col("op") == "COMMIT", F.col("seq"))
-    inside = F.min(commit).over(Window.partitionBy("_bucket").orderBy("seq").rowsBetween(0, Window.unboundedFollowing))
+    inside = F.min(commit).over(Window.partitionBy("_bucket").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0))
     firsts = rows.groupBy("_bucket").agg(F.min(commit).alias("_first"))
-    after = F.min("_first").over(Window.orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing))
+    after = F.min("_first").over(Window.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1))
     later = firsts.select("_bucket", after.alias("_later"))
     placed = rows.withColumn("_inside", inside).join(F.broadcast(later), "_bucket")
     effect = F.when(F.col("op") == "WRITE", F.col("seq")).when(F.col("op") == "TXN", F.coalesce("_inside", "_later"))
