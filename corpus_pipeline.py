@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quernstone.llm import decontaminate, line_dedup, pieces, simhash, toxicity
 from quernstone.llm.common import table, written
 
-#: Words in a shingle of the near-duplicate stage.
-SHINGLE = 5
+#: Words in a shingle of the near-duplicate stage, and the Jaccard similarity from which two documents are near copies.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -31,8 +31,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints over shingles of five words the least doc_id stays."""
-    return simhash.keep_one(docs, shingle=SHINGLE)
+    """Of each component of documents whose sets of five-word shingles are similar enough the least doc_id stays."""
+    return simhash.keep_one(docs, shingle=SHINGLE, similarity=SIMILARITY)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,27 +25,36 @@ from .common import checkpointed, map_arrow, slices
 
 BITS, RADIUS, SHINGLE, SEED, CHUNK = 64, 4, 4, 42, 2048
 _BUFFER = 1 << 16
+SAMPLE, COMMON, SENT = 16, 100_000, 1_000_000
 
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """64 majority bits over the XXH64 hashes of all word shingles, repeats included; 0 if there are no words."""
+def _hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of all word shingles in order; fewer words than a shingle count as one shingle."""
     words = text.lower().split()  # on bytes: A-Z only, and white space is 0x20 and 0x09-0x0D
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     m = len(words) - shingle + 1
     if m <= 1:
-        return _hash(joined)
+        return np.array([_hash(joined)], np.uint64)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[:m].tolist()
-    hashes = np.fromiter((_hash(joined[a:b]) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), np.uint64, m)
+    return np.fromiter((_hash(joined[a:b]) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), np.uint64, m)
+
+
+def _majority(hashes: np.ndarray) -> int:
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, m, 1 << 14):
+    for at in range(0, len(hashes), 1 << 14):
         ones += np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8), bitorder="little").reshape(-1, BITS).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > m, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """64 majority bits over the XXH64 hashes of all word shingles, repeats included; 0 if there are no words."""
+    return _majority(_hashes(text, shingle))
 
 
 def _fingerprints(shingle: int):
@@ -180,9 +189,189 @@ def simhash_digest(docs: DataFrame) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The row of the least key of each component, all columns of docs; rows without a key have no identity and stay."""
-    found = components(docs, key, text, shingle, radius)
-    first = found.select(F.col("component_id").alias("first")).where("first IS NOT NULL").distinct()
+def _need(a, b, similarity: float):
+    """The least overlap that gives sets of sizes a and b the asked Jaccard similarity."""
+    return np.ceil(similarity / (1 + similarity) * (a + b) - 1e-9)
+
+
+def shingles(text: bytes, shingle: int) -> np.ndarray:
+    """The set of hashes of a text's word shingles, ascending."""
+    return np.unique(_hashes(text, shingle))
+
+
+def _described(shingle: int, similarity: float, common):
+    """For each row its set's name and size, its fingerprint, and as many hashes (rare ones first) as two similar sets
+    cannot both lack: any order that all rows share is exact, and this one keeps crowds out of most buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = common.value
+        for batch in slices(batches, "text"):
+            names, sizes, prints, firsts = [], [], [], []
+            for t in batch.column("text").to_pylist():
+                every = _hashes((t or "").encode(), shingle)
+                own = np.unique(every)
+                n = len(own)
+                last = often[np.minimum(np.searchsorted(often, own), len(often) - 1)] == own if len(often) else np.zeros(n, bool)
+                ordered = np.concatenate((own[~last], own[last]))
+                names.append(_hash(own.tobytes()))
+                sizes.append(n)
+                prints.append(_majority(every))
+                firsts.append(ordered[: n - int(np.ceil(similarity * n - 1e-9)) + 1].tobytes())
+            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), signed(names), signed(prints), pa.array(sizes, pa.int32()), pa.array(firsts, pa.binary())], names=["id", "th", "s", "fp", "n", "first"])
+
+    return run
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "first"):
+        firsts = [np.frombuffer(x, np.int64) for x in batch.column("first").to_pylist()]
+        counts = np.fromiter(map(len, firsts), np.int64, len(firsts))
+        if not counts.sum():
+            continue
+        take = pa.array(np.repeat(np.arange(len(counts)), counts))
+        at = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), *[batch.column(c).take(take) for c in ("s", "c", "n")], pa.array(at, pa.int32())], names=["h", "s", "c", "n", "at"])
+
+
+def _sampled(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            for t in batch.column("text").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingles((t or "").encode(), shingle).view(np.int64))], names=["h"])
+
+    return run
+
+
+def _common(rows: DataFrame, shingle: int) -> np.ndarray:
+    """Hashes of shingles that many texts hold, by a sample of one text in SAMPLE. What it misses costs time only."""
+    some = rows.where(F.pmod("th", F.lit(SAMPLE)) == 0).dropDuplicates(["th"]).select("text")
+    found = map_arrow(some, _sampled(shingle), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k >= 4").orderBy(F.desc("k"), "h").limit(COMMON)
+    return np.sort(np.array([r.h for r in found.collect()], np.int64).view(np.uint64))
+
+
+def _candidates(similarity: float):
+    """Pairs of one bucket that sizes and places in the order allow, and that are not of one component yet."""
+    keys = ("h", "i", "j")
+
+    def pairs(rows, first, last):
+        s, c, n, at, side = (rows[k][first:last] for k in ("s", "c", "n", "at", "side"))
+        if (c == c[0]).all():
+            return
+        i, j = rows["i"][first], rows["j"][first]
+        others = np.arange(len(s)) if i == j else np.flatnonzero(side == j)
+        for x in range(len(s)) if i == j else np.flatnonzero(side == i):
+            y = others[others > x] if i == j else others
+            y = y[(c[y] != c[x]) & (1 + np.minimum(n[x] - at[x], n[y] - at[y]) - 1 >= _need(n[x], n[y], similarity))]
+            if len(y):
+                yield np.minimum(s[x], s[y]), np.maximum(s[x], s[y])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = (*keys, "s", "c", "n", "at", "side")
+        kept, count = [], 0
+
+        def close(parts, whole):
+            rows = {k: np.concatenate([p[k] for p in parts]) for k in names}
+            starts = np.flatnonzero(np.concatenate(([True], np.any([rows[k][1:] != rows[k][:-1] for k in keys], axis=0))))
+            ends = np.append(starts[1:], len(rows["h"]))
+            cut = len(rows["h"]) if whole else starts[-1]
+            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+                if b <= cut and b - a > 1:
+                    for low, high in pairs(rows, a, b):
+                        yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
+            kept[:] = [{k: x[cut:] for k, x in rows.items()}]
+
+        for batch in batches:
+            kept.append({k: batch.column(k).to_numpy(zero_copy_only=False) for k in names})
+            count += batch.num_rows
+            if count >= _BUFFER:
+                yield from close(kept, False)
+                count = len(kept[0]["h"])
+        if count:
+            yield from close(kept, True)
+
+    return run
+
+
+def _confirmed(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(k).to_pylist() for k in ("x", "y"))
+            good = []
+            for p, q in zip(x, y, strict=True):
+                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+                good.append(len(np.intersect1d(p, q, assume_unique=True)) >= _need(len(p), len(q), similarity))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def _sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = [shingles((t or "").encode(), shingle).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("s"), pa.array(sets, pa.binary())], names=["s", "set"])
+
+    return run
+
+
+def _freed(df: DataFrame) -> DataFrame:
+    """A checkpoint after which Spark's cleaner may drop the shuffle files of earlier steps."""
+    out = checkpointed(df)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
+def similar(docs: DataFrame, key: str, text: str, shingle: int, similarity: float, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+    """id, th (a hash of the text) and component for each row: components over all pairs whose sets of word shingles
+    have a Jaccard similarity of `similarity` or more.
+
+    No fingerprint distance stands for a similarity, so fingerprints only come first: links within `radius` bits, once
+    confirmed on the sets, join crowds of near copies early. Then sets that share one of their first hashes, and whose
+    sizes and places allow it, are compared unless they are of one component already. Two sets of that similarity
+    always share one, so no pair is lost. Blank texts have the empty set and are alike.
+    """
+    rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("th"))
+    common = docs.sparkSession.sparkContext.broadcast(_common(rows, shingle))
+    kind = dict(rows.dtypes)["id"]
+    found = checkpointed(map_arrow(rows, _described(shingle, similarity, common), f"id {kind}, th long, s long, fp long, n int, first binary"))
+    sets = _freed(found.groupBy("s").agg(F.min("th").alias("th"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("first").alias("first")))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct().join(sets.select("s", "th"), "s")
+        wanted = checkpointed(wanted)
+        small = wanted.count() <= SENT  # 16 bytes each; else both sides are shuffled
+        texts = rows.select("th", "text").join(F.broadcast(wanted) if small else wanted, "th").select("s", "text")
+        full = _freed(map_arrow(texts, _sets(shingle), "s long, set binary").dropDuplicates(["s"]))
+        both = pairs.join(full.toDF("a", "x"), "a").join(full.toDF("b", "y"), "b")
+        return _freed(map_arrow(both, _confirmed(similarity), "a long, b long"))
+
+    distinct = sets.groupBy("fp").agg(F.min("s").alias("s"))
+    named = distinct.select(F.col("fp").alias("a"), F.col("s").alias("sa")), distinct.select(F.col("fp").alias("b"), F.col("s").alias("sb"))
+    near = links(distinct.select("fp"), radius).join(named[0], "a").join(named[1], "b").select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b"))
+    early = confirmed(_freed(near))
+    roots = stars(early)
+    rest = sets.join(roots.toDF("s", "c"), "s", "left").select("s", F.coalesce("c", "s").alias("c"), "n", "first")
+    spread = map_arrow(rest, _spread, "h long, s long, c long, n int, at int")
+    # a bucket of one component has nothing to settle, and most hold one set only
+    large = spread.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
+    kept = spread.join(large.select("h", F.ceil(F.col("k") / F.lit(chunk)).cast("int").alias("m")), "h").withColumn("side", F.pmod(F.xxhash64("s"), F.col("m")).cast("int"))
+    dealt = kept.select("h", "s", "c", "n", "at", "side", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("o"))
+    dealt = dealt.select("h", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "s", "c", "n", "at", "side")
+    placed = dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "s")
+    late = confirmed(_freed(map_arrow(placed, _candidates(similarity), "a long, b long").distinct()))
+    roots = stars(early.union(late))
+    return found.join(roots.toDF("s", "c"), "s", "left").select("id", "th", F.coalesce("c", "s").alias("component"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
+    """The row of the least key of each component, all columns of docs; rows without a key have no identity and stay.
+
+    Components are those of linked fingerprints, or with `similarity` those of similar()."""
+    if similarity is None:
+        first = components(docs, key, text, shingle, radius).select(F.col("component_id").alias("first"))
+    else:
+        first = similar(docs, key, text, shingle, similarity, radius).groupBy("component").agg(F.min("id").alias("first")).select("first")
+    first = first.where("first IS NOT NULL").distinct()
     own = F.col(f"`{key}`")
     return docs.join(first, own == F.col("first"), "left_semi").unionByName(docs.where(own.isNull()))

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import xxhash
 
+import corpus_pipeline
 from quernstone.llm import simhash as S
 
 
@@ -88,3 +89,43 @@ def test_long_chain_and_empty(spark):
     chain = spark.range(1, 60).selectExpr("id as a", "id - 1 as b")
     assert {(r.a, r.b) for r in S.stars(chain).collect()} == {(i, 0) for i in range(1, 60)}
     assert S.simhash_digest(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_similar_finds_every_pair_of_the_asked_jaccard(spark):
+    rng = random.Random(5)
+    base = [["w" + str(rng.randint(0, 3000)) for _ in range(rng.choice([12, 60, 250]))] for _ in range(12)]
+    texts = [" ".join(b) for b in base]
+    for b in base:
+        for swaps in (1, 1, 2, 3, 4, 5, 6):
+            words = list(b)
+            for at in rng.sample(range(len(words)), swaps):
+                words[at] = "v" + str(rng.randint(0, 99999))
+            texts.append(" ".join(words))
+    passage = " ".join("p" + str(i) for i in range(14))
+    texts += [f"{passage} " + " ".join("q" + str(rng.randint(0, 3000)) for _ in range(20)) for _ in range(60)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    missed = 0
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            missed += (S.fingerprint(texts[i].encode(), 5) ^ S.fingerprint(texts[j].encode(), 5)).bit_count() > 4
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    assert missed > 20  # pairs that four bits of a fingerprint do not reach
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for chunk in (4, 2048):
+        found = {r.id: r.component for r in S.similar(docs, "doc_id", "text", 5, 0.8, chunk=chunk).collect()}
+        label = [found[i] for i in range(len(texts))]
+        want = [find(i) for i in range(len(texts))]
+        assert len(set(zip(label, want, strict=True))) == len(set(label)) == len(set(want))
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted({find(i) for i in range(len(texts))})
+    for t in (None, "", "a", "A b c d e", "a b c d e f f f f f f f f"):
+        words = (t or "").lower().split()
+        assert S.shingles((t or "").encode(), 5).tolist() == sorted({xxhash.xxh64_intdigest(" ".join(words[i : i + 5]), seed=42) for i in range(max(1, len(words) - 4)) if words})
