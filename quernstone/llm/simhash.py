@@ -365,13 +365,21 @@ def similar(docs: DataFrame, key: str, text: str, shingle: int, similarity: floa
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
-    """The row of the least key of each component, all columns of docs; rows without a key have no identity and stay.
+    """One row of each component, all columns of docs: that of the least key, a null one only where there is no other;
+    among rows of that key the one with the least hash of its text; of rows alike in both, one.
 
     Components are those of linked fingerprints, or with `similarity` those of similar()."""
+    own, th = F.col(f"`{key}`"), F.xxhash64(F.col(f"`{text}`"))
+    named = docs.select(F.struct(own.isNull().alias("none"), own.alias("id"), th.alias("th")).alias("row"), F.col(f"`{text}`").alias("text"))
     if similarity is None:
-        first = components(docs, key, text, shingle, radius).select(F.col("component_id").alias("first"))
+        found = components(named, "row", "text", shingle, radius).withColumnRenamed("component_id", "component")
     else:
-        first = similar(docs, key, text, shingle, similarity, radius).groupBy("component").agg(F.min("id").alias("first")).select("first")
-    first = first.where("first IS NOT NULL").distinct()
-    own = F.col(f"`{key}`")
-    return docs.join(first, own == F.col("first"), "left_semi").unionByName(docs.where(own.isNull()))
+        found = similar(named, "row", "text", shingle, similarity, radius)
+    counted = found.groupBy("component", "id").agg(F.count(F.lit(1)).alias("k"))
+    chosen = _freed(counted.groupBy("component").agg(F.min(F.struct("id", "k")).alias("w")).select("w.id.id", "w.id.th", "w.k"))
+    names = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.toDF(*names.values())
+    same = rows[names[key]].eqNullSafe(chosen["id"]) & (F.xxhash64(rows[names[text]]) == chosen["th"])
+    single = rows.join(chosen.where("k = 1"), same, "left_semi")
+    alike = rows.join(chosen.where("k > 1"), same).groupBy("id", "th").agg(F.first(F.struct(*names.values())).alias("row"))
+    return single.unionByName(alike.select("row.*")).toDF(*docs.columns)

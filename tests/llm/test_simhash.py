@@ -129,3 +129,19 @@ def test_similar_finds_every_pair_of_the_asked_jaccard(spark):
     for t in (None, "", "a", "A b c d e", "a b c d e f f f f f f f f"):
         words = (t or "").lower().split()
         assert S.shingles((t or "").encode(), 5).tolist() == sorted({xxhash.xxh64_intdigest(" ".join(words[i : i + 5]), seed=42) for i in range(max(1, len(words) - 4)) if words})
+
+
+def test_one_row_of_each_component_stays(spark):
+    rng = random.Random(2)
+    a, b, c, d = (" ".join("w" + str(rng.randint(0, 5000)) for _ in range(120)) for _ in range(4))
+    rows = [(1, a, "x"), (1, a, "x"), (3, b, "x"), (7, b + " tail", "x"), (7, d, "x"), (None, a, "x"), (None, c, "x"), (None, c, "x"), (None, c + " tail", "x"), (9, None, "x"), (9, "", "x"), (None, " ", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, th string").repartition(3)
+    for options in ({}, {"shingle": 5, "similarity": 0.8}):
+        kept = S.keep_one(docs, **options)
+        assert kept.columns == docs.columns
+        found = kept.collect()
+        assert sorted((r.doc_id or 0) for r in found) == [0, 1, 3, 7, 9]
+        assert {r.doc_id: r.text for r in found if r.doc_id in (1, 3, 7)} == {1: a, 3: b, 7: d}
+        assert {r.text for r in found if r.doc_id is None} <= {c, c + " tail"}
+        assert all(r.th == "x" for r in found)
+    assert S.keep_one(docs.limit(0), similarity=0.8).collect() == []
