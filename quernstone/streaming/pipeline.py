@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.keyvalue import get, latest
 
@@ -19,10 +22,31 @@ def batches(frame: DataFrame, seq: str = "seq", rows: int = BATCH_ROWS) -> DataF
     return frame.withColumn("batch_id", F.expr(f"{seq} div {rows}"))
 
 
-def batches_by_age(frame: DataFrame, at: str, lane: str, micros: int = BATCH_MICROS) -> DataFrame:
-    """Adds batch_id by age within each lane: a batch ends when its first operation is `micros` old."""
-    since = F.min(at).over(Window.partitionBy(lane))
-    return frame.withColumn("batch_id", F.floor((F.col(at) - since) / micros))
+def batches_by_age(frame: DataFrame, at: str, lane: str, micros: int = BATCH_MICROS, rows: int = BATCH_ROWS, seq: str | None = None) -> DataFrame:
+    """Adds batch_id by size or age within each lane: a batch ends when it holds `rows` operations or its first one is
+    `micros` old, whichever comes first. Operations of one time are in the order of `seq`, if given. Rows without a
+    time have no batch. A lane is read in order with the state of its open batch only."""
+    order = [F.col(c).asc_nulls_last() for c in (lane, at, *([seq] if seq else []))]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        began, since, held, number = False, None, 0, 0
+        now = None
+        for part in parts:
+            ids = []
+            for own, time in zip(part.column(lane).to_pylist(), part.column(at).to_pylist(), strict=True):
+                if time is None:
+                    ids.append(None)
+                    continue
+                if not began or own != now:
+                    began, now, since, held, number = True, own, time, 0, 0
+                elif held >= rows or time - since >= micros:
+                    since, held, number = time, 0, number + 1
+                held += 1
+                ids.append(number)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.int64())], names=[*part.schema.names, "batch_id"])
+
+    schema = StructType([*frame.schema.fields, StructField("batch_id", LongType())])
+    return frame.repartition(lane).sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 def opcode_counts(frame: DataFrame) -> DataFrame:

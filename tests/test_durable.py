@@ -104,6 +104,13 @@ def test_stream_counts_and_state(spark, tmp_path):
     assert sorted(r.batch_id for r in S.batches_by_age(aged, "at", "lane").collect()) == [0, 0, 1, 2]
 
 
+def test_batches_end_by_size_or_age(spark):
+    rows_in = [(0, 1, 1), (60, 1, 2), (105, 1, 3), *((200, 2, k) for k in range(5)), (249, 2, 5), (250, 2, 6), (None, 2, 7), (7, None, 8)]
+    frame = spark.createDataFrame(rows_in, "at long, lane int, seq long").repartition(3)
+    got = {r.seq if r.lane != 2 else (2, r.seq): r.batch_id for r in S.batches_by_age(frame, "at", "lane", rows=4, seq="seq").collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 8: 0, **{(2, k): 0 for k in range(4)}, (2, 4): 1, (2, 5): 1, (2, 6): 2, (2, 7): None}
+
+
 def test_tiers():
     t = Tiering(budget=2_000_000)
     for name, tier in (("a", HOST), ("b", HOST), ("c", COLD)):
