@@ -14,7 +14,7 @@ QUERIES = {
     "op6_simhash": lambda spark, sf_dir: simhash.simhash_digest(table(spark, sf_dir, "documents")),
     "op7_exact_dedup": lambda spark, sf_dir: exact_dedup.exact_dedup(table(spark, sf_dir, "documents")),
     "op8_line_dedup": lambda spark, sf_dir: line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")),
-    "op9_token_output": lambda spark, sf_dir: token_output.materialise(table(spark, sf_dir, "documents")),
+    "op9_token_output": lambda spark, sf_dir: token_output.stored(table(spark, sf_dir, "documents")),
     "op10_decontaminate": lambda spark, sf_dir: decontaminate.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
 }
 

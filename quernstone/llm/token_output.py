@@ -10,6 +10,7 @@ slot s lies at a known byte of a known shard and a reader can go on from any slo
 import hashlib
 import json
 import os
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 from urllib.parse import urlparse
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_arrow, slices, written
+from .common import map_arrow, shared_folder, slices, written
 
 VOCABULARY, SEPARATOR = "byte_bpe_50k.tiktoken", 50256
 LENGTH, PER_SHARD, KEY, ROUNDS = 2048, 4096, 0x5EED, 6
@@ -202,6 +203,36 @@ def finish(manifest: DataFrame, folder: str, length: int = LENGTH, per_shard: in
     return about
 
 
+def _read(place: str, stride: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, file = None, None
+        for batch in batches:
+            tokens = []
+            for shard, offset in zip(batch.column("shard").to_pylist(), batch.column("byte_offset").to_pylist(), strict=True):
+                if shard != now:
+                    if file:
+                        file.close()
+                    now, file = shard, open(f"{place}/shard-{shard:08d}.bin", "rb")  # noqa: SIM115
+                file.seek(offset)
+                tokens.append(file.read(stride))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens, pa.binary())], names=[*batch.schema.names, "tokens"])
+        if file:
+            file.close()
+
+    return run
+
+
+def stored(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, per_shard: int = PER_SHARD, seed: int = KEY, vocabulary: str = VOCABULARY, folder: str | None = None) -> DataFrame:
+    """The rows of materialise(), their tokens as read back from the shards that are written to `folder` with a
+    manifest first: a new one in the shared folder unless given. The folder must be mounted by all machines."""
+    folder = folder or f"{shared_folder(docs.sparkSession).rstrip('/')}/shards-{uuid.uuid4().hex}"
+    sequences = materialise(docs, key, text, length, per_shard, seed, vocabulary)
+    finish(write_shards(sequences, folder), folder, length, per_shard, seed)
+    rows = sequences.drop("tokens")
+    kinds = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes)
+    return map_arrow(rows, _read(_folder(folder), length * DTYPE.itemsize), f"{kinds}, tokens binary")
+
+
 def read_slots(folder: str, start: int = 0) -> Iterator[np.ndarray]:
     """Sequences from slot `start` on, in order, by seeking to its place."""
     place = _folder(folder)

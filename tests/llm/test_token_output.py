@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -75,3 +76,20 @@ def test_doc_ids_name_the_rows_of_each_sequence():
 
 def test_empty(spark):
     assert T.materialise(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_the_query_returns_what_its_shards_hold(spark, tmp_path):
+    from quernstone.llm.registry import QUERIES
+
+    table = spark.createDataFrame(list(rows()), "doc_id long, text string").repartition(2)
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted(map(tuple, T.materialise(docs, length=64, per_shard=16).collect()))
+    got = sorted(map(tuple, T.stored(docs, length=64, per_shard=16, folder=f"file://{tmp_path}/out").collect()))
+    assert got == want and [x.tobytes() for x in T.read_slots(f"{tmp_path}/out")] == [r[-1] for r in want]
+    place = T._folder(T.shared_folder(spark))
+    before = set(os.listdir(place)) if os.path.isdir(place) else set()
+    found = sorted(QUERIES["op9_token_output"](spark, str(tmp_path)).collect())
+    (made,) = [x for x in set(os.listdir(place)) - before if x.startswith("shards-")]
+    assert [x.tobytes() for x in T.read_slots(f"{place}/{made}")] == [r.tokens for r in found]
+    assert T.stored(docs.limit(0), folder=f"{tmp_path}/none").collect() == []
