@@ -1,9 +1,13 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs, in numpy.
 
-A text is its lower-case words. Each word enters as what its hashed form and its hashed byte n-grams say about the
-label in the training rows (mean and extremes), beside small learned embeddings of both. Windows of 32 words, each
-overlapping the next by half, run through the network; a text scores as its worst window. Training is by back-propagation through
-time on the window of each training text that scores highest at the time, so a text-level label teaches window scores.
+A text is its lower-case words. Each word enters as two learned vectors: its own, if it is in the vocabulary of the
+training texts, and the mean over its hashed character n-grams, by which unseen spellings are read. Windows of 32 words,
+each overlapping the next by half, run through the network; a text scores as its worst window.
+
+Training has two steps, both on text labels alone. First the vectors are learned: a text is the attention-weighted mean
+of its words on one learned direction. Then network and vectors are trained together, by back-propagation through time
+on the window of each training text that scores highest at the time (at first: that holds the strongest words of the
+first step), so a text-level label teaches window scores.
 """
 
 from __future__ import annotations
@@ -19,24 +23,27 @@ from .decontaminate import _FOLD
 from .features import Bytes, grams, held_out, training_rows
 
 LENGTH, STRIDE = 32, 16
-BUCKETS, FINE, EMBED, HIDDEN, ATTEND, SIZES = 1 << 15, 1 << 20, 4, 8, 8, (4, 6)
-STEPS, EPOCHS, RATE, BATCH, BLOCK = 360, (5, 30), 0.01, 64, 2048
+GRAMS, EMBED, HIDDEN, ATTEND, SIZES = 1 << 18, 8, 8, 8, (3, 5)
+#: Training texts that a word must occur in to be of the vocabulary, and how sharply the first step attends.
+SEEN, SHARP = 3, 6.0
+#: One window of unknown words with label 0 stands beside that many others: words that nothing is known of are no sign.
+BLANK = 16
+STEPS, EPOCHS, RATE, BATCH, BLOCK = 360, (3, 30), 0.01, 64, 2048
 THRESHOLD = 0.5
-_INPUTS = 2 * EMBED + 3
+_INPUTS = 2 * EMBED
 _SPACES = np.zeros(256, bool)
 _SPACES[32] = True
 
 
 class Words:
-    """The distinct words of some texts with their buckets, and the place of each word in each text."""
+    """The distinct words of some texts with their n-gram buckets, and the place of each word in each text."""
 
     def __init__(self, texts: list[bytes]):
         source = Bytes([t.translate(_FOLD) for t in texts])
         starts, ends, doc = source.words(_SPACES)
         self.hashes, first, self.index = np.unique(source.hashes(starts, ends), return_index=True, return_inverse=True)
-        self.word = (self.hashes % np.uint64(FINE)).astype(np.int32)
         gram, self.n_grams = grams(source, starts[first], ends[first], SIZES)
-        self.gram = (gram % np.uint64(FINE)).astype(np.int32)
+        self.gram = (gram % np.uint64(GRAMS)).astype(np.int32)
         self.gram_starts = np.cumsum(self.n_grams) - self.n_grams
         self.doc_lengths = np.bincount(doc, minlength=len(texts)).astype(np.int64)
         self.doc_starts = np.cumsum(self.doc_lengths) - self.doc_lengths
@@ -52,7 +59,6 @@ class Words:
         self.hashes, first, back = np.unique(all_hashes, return_index=True, return_inverse=True)
         offsets = np.cumsum([0, *[len(x.hashes) for x in parts]])
         self.index = np.concatenate([back[at + x.index] for at, x in zip(offsets[:-1], parts, strict=True)]).astype(np.int32)
-        self.word = np.concatenate([x.word for x in parts])[first]
         n_grams, gram = np.concatenate([x.n_grams for x in parts]), np.concatenate([x.gram for x in parts])
         starts = (np.cumsum(n_grams) - n_grams)[first]
         self.n_grams = n_grams[first]
@@ -62,6 +68,12 @@ class Words:
         self.doc_starts = np.cumsum(self.doc_lengths) - self.doc_lengths
         return self
 
+    def flat_grams(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """N-gram buckets of some distinct words one after another, where each word's begin, and how many it has."""
+        counts = self.n_grams[some]
+        starts = np.cumsum(counts) - counts
+        return self.gram[np.repeat(self.gram_starts[some] - starts, counts) + np.arange(int(counts.sum()))], starts, counts
+
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First word, number of words and text of every window; a text without words has none."""
         count = np.where(self.doc_lengths > 0, np.maximum(1, -(-(self.doc_lengths - LENGTH) // STRIDE) + 1), 0)
@@ -87,11 +99,11 @@ class Network:
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
         draw = lambda *shape: (rng.normal(size=shape) / np.sqrt(shape[0])).astype(np.float32)
-        self.word_evidence = np.zeros(FINE, np.float16)
-        self.gram_evidence = np.zeros(FINE, np.float16)
+        self.vocabulary = np.zeros(1, np.uint64)
         self.p = {
-            "word": (0.01 * rng.normal(size=(BUCKETS, EMBED))).astype(np.float32),
-            "gram": (0.01 * rng.normal(size=(BUCKETS, EMBED))).astype(np.float32),
+            "word": np.zeros((1, EMBED), np.float32),
+            "gram": (0.05 * rng.normal(size=(GRAMS, EMBED))).astype(np.float32),
+            "u": draw(_INPUTS, 1)[:, 0],
             "a": draw(2 * HIDDEN, ATTEND),
             "v": draw(ATTEND, 1)[:, 0],
             "o": draw(2 * HIDDEN, 1)[:, 0],
@@ -100,44 +112,31 @@ class Network:
         for way in "fb":
             self.p |= {f"w{way}": draw(_INPUTS, 3 * HIDDEN), f"u{way}": draw(HIDDEN, 3 * HIDDEN), f"b{way}": np.zeros(3 * HIDDEN, np.float32)}
 
-    def learn_evidence(self, words: Words, labels: np.ndarray) -> None:
-        """Shrunken log-odds of the label for each bucket, by the number of texts that have it; rare buckets say nothing."""
-        n1 = max(1, int(labels.sum()))
-        n0 = max(1, len(labels) - n1)
-        seen = {kind: np.zeros((2, FINE), np.int32) for kind in ("word", "gram")}
-        for at in range(0, len(labels), 128):  # some texts at a time: each text counts a bucket once
-            docs = slice(at, at + 128)
-            index = words.index[words.doc_starts[at] : words.doc_starts[docs][-1] + words.doc_lengths[docs][-1]]
-            doc = np.repeat(np.arange(len(labels[docs])), words.doc_lengths[docs])
-            pairs = np.unique(doc * len(words.word) + index)
-            doc, word = pairs // len(words.word), pairs % len(words.word)
-            counts = words.n_grams[word]
-            flat = np.repeat(words.gram_starts[word] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-            for kind, bucket, owner in (("word", words.word[word], doc), ("gram", words.gram[flat], np.repeat(doc, counts))):
-                once = np.unique(owner * FINE + bucket)
-                np.add.at(seen[kind], (labels[docs][once // FINE], once % FINE), 1)
-
-        def evidence(kind: str) -> np.ndarray:
-            c0, c1 = seen[kind]
-            total = c0 + c1
-            odds = np.log((c1 + 0.5) / (n1 + 1)) - np.log((c0 + 0.5) / (n0 + 1))
-            return (np.clip(odds, -4, 4) * (total >= 3) * total / (total + 4)).astype(np.float16)
-
-        self.word_evidence, self.gram_evidence = evidence("word"), evidence("gram")
-
-    def inputs(self, words: Words) -> np.ndarray:
-        """One row for each distinct word."""
-        if not len(words.word):
-            return np.zeros((0, _INPUTS), np.float32)
-        evidence = self.gram_evidence[words.gram].astype(np.float32)
-        n = words.n_grams.astype(np.float32)
-        x = np.empty((len(words.word), _INPUTS), np.float32)
-        x[:, 0] = self.word_evidence[words.word]
-        x[:, 1] = np.add.reduceat(evidence, words.gram_starts) / n
-        x[:, 2] = np.maximum.reduceat(evidence, words.gram_starts)
-        x[:, 3 : 3 + EMBED] = self.p["word"][words.word % BUCKETS]
-        for k in range(EMBED):
-            x[:, 3 + EMBED + k] = np.add.reduceat(self.p["gram"][words.gram % BUCKETS, k], words.gram_starts) / n
+    def learn_vocabulary(self, words: Words) -> None:
+        """A vector for each word of enough texts; row 0 stands for all others."""
+        doc = np.repeat(np.arange(len(words.doc_lengths)), words.doc_lengths)
+        order = np.lexsort((doc, words.index))
+        index, doc = words.index[order], doc[order]
+        new = np.concatenate(([True], (index[1:] != index[:-1]) | (doc[1:] != doc[:-1])))
+        texts = np.bincount(index[new], minlength=len(words.hashes))
+        self.vocabulary = np.concatenate((np.zeros(1, np.uint64), words.hashes[texts >= SEEN]))  # hashes are in order
+        rng = np.random.default_rng(len(self.vocabulary))
+        self.p["word"] = (0.05 * rng.normal(size=(len(self.vocabulary), EMBED))).astype(np.float32)
+        self.p["word"][0] = 0  # stays so: other words are read by their n-grams alone
+
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        """Rows of words in the vocabulary, 0 for others."""
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == hashes, at, 0)
+
+    def inputs(self, words: Words, some: np.ndarray | None = None) -> np.ndarray:
+        """One row for each distinct word, or for some of them."""
+        some = np.arange(len(words.hashes)) if some is None else some
+        x = np.empty((len(some), _INPUTS), np.float32)
+        if len(some):
+            x[:, :EMBED] = self.p["word"][self.known(words.hashes[some])]
+            flat, starts, counts = words.flat_grams(some)
+            x[:, EMBED:] = np.add.reduceat(self.p["gram"][flat], starts, axis=0) / counts[:, None].astype(np.float32)
         return x
 
     def projected(self, x: np.ndarray) -> np.ndarray:
@@ -236,51 +235,103 @@ class Network:
         return 1.0 / (1.0 + np.exp(-np.clip(worst, -30, 30)))
 
 
+class Adam:
+    """Adam for whole weights, and for the rows of a table that a batch has touched."""
+
+    def __init__(self, weights: dict[str, np.ndarray]):
+        self.p, self.moments, self.step = weights, {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in weights.items()}, 0
+
+    def _moved(self, m: np.ndarray, v: np.ndarray, rate: float) -> np.ndarray:
+        return (rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.999**self.step)) + 1e-8)).astype(np.float32)
+
+    def whole(self, grads: dict[str, np.ndarray], rate: float) -> None:
+        for k, grad in grads.items():
+            m, v = self.moments[k]
+            m += 0.1 * (grad - m)
+            v += 0.001 * (grad**2 - v)
+            self.p[k] -= self._moved(m, v, rate)
+
+    def rows(self, k: str, at: np.ndarray, grads: np.ndarray, rate: float) -> None:
+        rows, back = np.unique(at, return_inverse=True)
+        grad = np.stack([np.bincount(back, weights=grads[:, d], minlength=len(rows)) for d in range(grads.shape[1])], 1).astype(np.float32)
+        m, v = self.moments[k]
+        m[rows] += 0.1 * (grad - m[rows])
+        v[rows] += 0.001 * (grad**2 - v[rows])
+        self.p[k][rows] -= self._moved(m[rows], v[rows], rate)
+
+    def inputs(self, net: Network, words: Words, used: np.ndarray, to_x: np.ndarray, rate: float) -> None:
+        """The vectors behind the inputs of the distinct words `used`."""
+        at = net.known(words.hashes[used])
+        self.rows("word", at[at > 0], to_x[at > 0, :EMBED], rate)
+        flat, _, counts = words.flat_grams(used)
+        self.rows("gram", flat, np.repeat(to_x[:, EMBED:] / counts[:, None].astype(np.float32), counts, 0), rate)
+
+
+def learn_vectors(net: Network, words: Words, labels: np.ndarray, rng: np.random.Generator, epochs: int, few: int) -> None:
+    """The first step: vectors and a direction on which the words that make a text toxic stand out."""
+    adam, prior = Adam(net.p), net.p["c"].copy()
+    for epoch in range(epochs):
+        rate = 2 * RATE * (1 - epoch / epochs)
+        docs = rng.permutation(len(labels))
+        for at in range(0, len(docs), few):
+            part = docs[at : at + few]
+            each = [np.unique(words.index[words.doc_starts[d] : words.doc_starts[d] + words.doc_lengths[d]]) for d in part.tolist()]
+            sizes = np.fromiter(map(len, each), np.int64, len(each))
+            starts = np.cumsum(sizes) - sizes
+            used, back = np.unique(np.concatenate(each), return_inverse=True)
+            x = net.inputs(words, used)
+            s = (x @ net.p["u"])[back]
+            weight = np.exp(np.float32(SHARP) * (s - np.repeat(np.maximum.reduceat(s, starts), sizes)))
+            weight /= np.repeat(np.add.reduceat(weight, starts), sizes)
+            pooled = np.add.reduceat(weight * s, starts)
+            slope = (_sigmoid(pooled + net.p["c"][0]) - labels[part]) / len(part)
+            to_s = np.bincount(back, weights=np.repeat(slope, sizes) * weight * (1 + np.float32(SHARP) * (s - np.repeat(pooled, sizes))), minlength=len(used)).astype(np.float32)
+            adam.step += 1
+            adam.inputs(net, words, used, to_s[:, None] * net.p["u"], rate)
+            adam.whole({"u": x.T @ to_s, "c": np.array([slope.sum()], np.float32)}, rate)
+    net.p["c"][:] = prior
+
+
 def fit(rows: list[tuple[bytes, int]], seed: int = 7) -> Network:
-    """Adam on the worst window of every training text, chosen anew in each epoch."""
+    """Adam on word attention first, then on the worst window of every training text, chosen anew in each epoch."""
     net, rng = Network(seed), np.random.default_rng(seed)
     rows = [(t, y) for t, y in rows if t.translate(_FOLD).split()]
     if not rows:
         return net
     words, labels = Words.of_many([t for t, _ in rows]), np.array([y for _, y in rows], np.int64)
-    net.learn_evidence(words, labels)
-    prior = float(np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1)))
-    net.p["c"][:] = prior
-    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
-    step = 0
+    net.learn_vocabulary(words)
+    net.p["gram"][np.bincount(words.gram, minlength=GRAMS) == 0] = 0  # n-grams that no training text has say nothing
+    net.p["c"][:] = float(np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1)))
     few = min(max(len(rows) * EPOCHS[1] // STEPS, 8), BATCH)  # few texts: smaller batches, so as many steps
     epochs = min(max(-(-STEPS * few // len(rows)), EPOCHS[0]), EPOCHS[1])
+    learn_vectors(net, words, labels, rng, epochs, few)
+    adam = Adam(net.p)
     for epoch in range(epochs):
-        if epoch == 0:  # before the first step: the window with the strongest evidence
+        if epoch == 0:  # before the first step: the window with the strongest word of the first step
             start, size, doc = words.windows()
-            strong = net.inputs(words)[:, :3].sum(1)[words.index]
+            strong = (net.inputs(words) @ net.p["u"])[words.index]
             worst = np.maximum.reduceat(np.append(strong, np.float32(-99)), np.stack([start, start + size], 1).ravel())[::2]
         else:
             worst, start, size, doc = net.window_logits(words)
         order = np.lexsort((-worst, doc))
         chosen = order[np.flatnonzero(np.diff(doc[order], prepend=-1))]
         chosen = rng.permutation(chosen)
-        x = net.inputs(words)
         rate = RATE * (1 - epoch / epochs)
         for at in range(0, len(chosen), few):
             part = chosen[at : at + few]
             windows, y = words.rows(start[part], size[part]), labels[doc[part]].astype(np.float32)
             used = np.unique(windows[windows >= 0])
             windows = np.where(windows >= 0, np.searchsorted(used, windows), -1)
+            x = np.concatenate((net.inputs(words, used), np.zeros((1, _INPUTS), np.float32)))
+            blank = np.where(np.arange(LENGTH) < rng.integers(1, 2 * LENGTH, (1 + len(part) // BLANK, 1)), len(used), -1)
+            windows, y = np.concatenate((windows, blank)), np.append(y, np.zeros(len(blank), np.float32))
             keep: dict = {}
-            logit = net.run(net.projected(x[used]), windows, keep)
-            slope = (_sigmoid(logit) - y) / len(part)
-            g, to_x = net.gradients(keep, windows, x[used], slope)
-            step += 1
-            for k, grad in g.items():
-                m, v = moments[k]
-                m += 0.1 * (grad - m)
-                v += 0.001 * (grad**2 - v)
-                net.p[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-            np.add.at(net.p["word"], words.word[used] % BUCKETS, -rate * to_x[:, 3 : 3 + EMBED])
-            counts = words.n_grams[used]
-            flat = np.repeat(words.gram_starts[used], counts) + np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-            np.add.at(net.p["gram"], words.gram[flat] % BUCKETS, np.repeat(-rate * to_x[:, 3 + EMBED :] / counts[:, None].astype(np.float32), counts, 0))
+            logit = net.run(net.projected(x), windows, keep)
+            slope = (_sigmoid(logit) - y) / len(y)
+            g, to_x = net.gradients(keep, windows, x, slope)
+            adam.step += 1
+            adam.whole(g, rate)
+            adam.inputs(net, words, used, to_x[:-1], rate)
     return net
 
 

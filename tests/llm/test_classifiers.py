@@ -70,6 +70,27 @@ def test_empty_tables(spark):
     assert quality.score_quality(one, labels).first().score == 0.5 and toxicity.score_toxicity(one, labels).count() == 1
 
 
+def test_toxicity_is_learned_by_the_network_from_words_and_characters():
+    """Held-out ranking with learned inputs only; without its inputs the network knows nothing, and unseen spellings
+    of a learned stem are found by their characters."""
+    rows = corpus(900, 11)
+    train = [(t.encode(), y) for i, t, _, y in rows if zlib.crc32(str(i).encode()) % 5]
+    test = [(t.encode(), y) for i, t, _, y in rows if not zlib.crc32(str(i).encode()) % 5]
+    net = toxicity.fit(train)
+
+    def auc():
+        scores, y = net.scores([t for t, _ in test]), np.array([y for _, y in test])
+        rank = np.argsort(np.argsort(scores, kind="stable"), kind="stable")
+        return (rank[y == 1].sum() - y.sum() * (y.sum() - 1) / 2) / (y.sum() * (len(y) - y.sum()))
+
+    assert auc() >= 0.95
+    plain = " ".join(WORDS)
+    new, clean = net.scores([f"{plain} zzgrkzzgrk qvloxqvlox {plain}".encode(), plain.encode()])
+    assert new > 0.5 > clean
+    net.p["word"][:], net.p["gram"][:] = 0, 0
+    assert len(set(net.scores([t for t, _ in test if len(t.split()) > 64]).round(3))) == 1
+
+
 def test_gradients_equal_differences():
     net = toxicity.Network(3)
     rng = np.random.default_rng(0)
