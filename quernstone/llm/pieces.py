@@ -6,11 +6,14 @@ together: their characters lie in one flat array of symbols, each round finds th
 segmented minimum over pair ranks, merges it at its leftmost places in all words at once, compacts the arrays and drops
 the words in which no pair is left. Encoded words are kept as bytes, so that a text is a join over its words.
 
-A word merges one pair a round, as the reference algorithm does, at all its places if no merge that the new symbol
-could take part in has a better rank than its own, and else at the leftmost place only.
+A word merges one pair a round, as the library's algorithm does, at all its places if no merge that the new symbol
+could take part in has a better rank than its own, and else at the leftmost place only. An unbroken run of more than
+LONG_WORD characters would need too many rounds, each over all of it: there the pairs wait in a heap by rank and place,
+which takes n log n steps and gives the same symbols.
 """
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,7 +26,7 @@ from .common import RELEASES, map_arrow, slices
 
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
-CACHE_WORDS = 200_000
+CACHE_WORDS, LONG_WORD = 200_000, 2000
 _BATCH_SYMBOLS = 1 << 18
 _NONE = np.int32(2**31 - 1)
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -78,6 +81,7 @@ class PieceModel:
         np.minimum.at(best, left, rank[made])
         np.minimum.at(best, right, rank[made])
         self.careful = best <= rank
+        self.by_pair: dict[int, int] | None = None
         self._slots()
 
     def _slots(self) -> None:
@@ -163,6 +167,55 @@ class PieceModel:
         offset = np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)
         return flat[offset + np.arange(len(flat))], sizes
 
+    def merge_all(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """merge() of the words, merge_long() of those of more than LONG_WORD characters."""
+        long = np.flatnonzero(sizes > LONG_WORD)
+        if not len(long):
+            return self.merge(symbols, sizes)
+        begins = np.cumsum(sizes) - sizes
+        at_long = np.repeat(sizes > LONG_WORD, sizes)
+        rest = sizes <= LONG_WORD
+        flat, lengths = self.merge(symbols[~at_long], sizes[rest]) if rest.any() else (symbols[:0], sizes[:0])
+        parts: list[np.ndarray] = [None] * len(sizes)
+        for i, part in zip(np.flatnonzero(rest).tolist(), np.split(flat, np.cumsum(lengths)[:-1]) if len(lengths) else [], strict=True):
+            parts[i] = part
+        for i in long.tolist():
+            parts[i] = self.merge_long(symbols[begins[i] : begins[i] + sizes[i]])
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+
+    def merge_long(self, symbols: np.ndarray) -> np.ndarray:
+        """The same for one long word: a heap of pairs over a linked list of symbols."""
+        if self.by_pair is None:
+            self.by_pair = dict(zip(self.pair_keys.tolist(), self.pair_made.tolist(), strict=True))
+        made_by, size, n = self.by_pair, self.size, len(symbols)
+        left, after, before = symbols.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        made = self.pairs(symbols[:-1], symbols[1:]).tolist() + [-1]
+        ranks, bits = self.rank.tolist(), n.bit_length()
+        low = (1 << bits) - 1
+        heap = [ranks[m] << bits | i for i, m in enumerate(made) if m >= 0]
+        heapq.heapify(heap)
+
+        def look(i: int) -> None:
+            j = after[i]
+            made[i] = made_by.get(left[i] * size + left[j], -1) if j < n and left[i] < size and left[j] < size else -1
+            if made[i] >= 0:
+                heapq.heappush(heap, ranks[made[i]] << bits | i)
+
+        while heap:
+            top = heapq.heappop(heap)
+            i = top & low
+            if made[i] < 0 or ranks[made[i]] != top >> bits:
+                continue  # what it was pushed for is gone
+            j = after[i]
+            left[i], left[j], made[j] = made[i], -1, -1
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            look(i)
+            if before[i] >= 0:
+                look(before[i])
+        return np.array([x for x in left if x >= 0], np.int64)
+
     def encode_words(self, words: list[str]) -> list[bytes]:
         """The ids of each word as little-endian unsigned 32-bit numbers."""
         codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
@@ -170,7 +223,8 @@ class PieceModel:
         unknown = np.flatnonzero(symbols < 0)
         strange, which = np.unique(codes[unknown], return_inverse=True)
         symbols[unknown] = self.size + which
-        symbols, sizes = self.merge(symbols, np.fromiter(map(len, words), np.int64, len(words)))
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        symbols, sizes = self.merge_all(symbols, sizes)
         if len(strange):  # characters outside the vocabulary become their bytes
             as_bytes = [self.byte_ids[list(chr(c).encode())] for c in strange.tolist()]
             counts = np.ones(len(symbols), np.int64)

@@ -37,6 +37,25 @@ def test_equals_the_library(library):
         assert coder.decode(ids).decode() == decoded
 
 
+def test_long_words_by_a_heap_equal_the_library(library, monkeypatch):
+    monkeypatch.setattr(P, "LONG_WORD", 2)
+    rows = list(texts())
+    for text, ids in zip(rows, P.Encoder(P.model_path()).encode(rows), strict=True):
+        assert ids == expected(library, text)[0], repr(text)
+
+
+@pytest.mark.parametrize("kind", ["letters", "one", "spaces", "strange", "word"])
+def test_a_million_characters_in_one_run(library, kind):
+    import time
+
+    rng = random.Random(3)
+    text = {"letters": lambda: "".join(rng.choices("etaoinshr", k=300_000)), "one": lambda: "a" * 1_000_000, "spaces": lambda: " " * 1_000_000 + "x", "strange": lambda: "\u1234\u4321" * 200_000, "word": lambda: "tion " * 200_000}[kind]()
+    began = time.process_time()
+    (ids,) = P.Encoder(P.model_path()).encode([text])
+    assert time.process_time() - began < 60
+    assert ids == expected(library, text)[0]
+
+
 def test_small_cache_gives_the_same(library):
     rows = [t for t in texts() if t][:300]
     coder = P.Encoder(P.model_path(), cache_words=50)
