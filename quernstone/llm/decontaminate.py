@@ -11,14 +11,13 @@ from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import map_arrow, slices
 
 WINDOW = 8
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 2_000_000
 MAX_COVERAGE = 0.5
 CONTAMINATED_ITEMS = 2
 
@@ -49,9 +48,10 @@ class SuffixAutomaton:
         for item, sequence in known:
             for _, state, length in self.stream(sequence):
                 if length >= window:
-                    self.window_items.setdefault(self._suffix(state, window), set()).add(item)
+                    self.window_items.setdefault(state, set()).add(item)
             if len(sequence) < window:
                 self.short_items.setdefault(self._suffix(state, len(sequence)), []).append((len(sequence), item))
+        self.window_items = {state: frozenset(items) for state, items in self.window_items.items()}
         # the nearest state on the way of suffix links at which a short item ends
         self.short_from = [-1] * len(self.link)
         for state in sorted(range(1, len(self.link)), key=self.length.__getitem__):
@@ -94,8 +94,10 @@ class SuffixAutomaton:
         return state
 
     def stream(self, sequence: Iterable[int]) -> Iterator[tuple[int, int, int]]:
-        """For each position: the state and the length of the longest suffix that occurs in an item."""
-        following, link, lengths = self.next, self.link, self.length
+        """For each position: the state and the length of the longest suffix that occurs in an item, as far as the
+        window needs it: a longer one is cut to the window's words, so that one step up the links is enough and no
+        position climbs the chain of a long match."""
+        following, link, lengths, window = self.next, self.link, self.length, self.window
         state = length = 0
         for at, token in enumerate(sequence):
             while state and token not in following[state]:
@@ -104,11 +106,15 @@ class SuffixAutomaton:
             if token in following[state]:
                 state = following[state][token]
                 length += 1
+                if length > window:
+                    length = window
+                    while lengths[link[state]] >= window:
+                        state = link[state]
             yield at, state, length
 
     def hits(self, words: list[bytes]) -> tuple[np.ndarray, set]:
         """Which words are hit, and the items that have a window there."""
-        hit, found = np.zeros(len(words) + 1, np.int32), set()
+        hit, found, passed = np.zeros(len(words) + 1, np.int32), set(), set()
         ids = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int32, len(words))
         edges = np.flatnonzero(np.diff(np.concatenate(([False], ids >= 0, [False])).astype(np.int8)))
         starts, ends = edges[::2], edges[1::2]
@@ -116,7 +122,9 @@ class SuffixAutomaton:
         for start, end in zip(starts[long_enough].tolist(), ends[long_enough].tolist(), strict=True):
             for at, state, length in self.stream(ids[start:end].tolist()):
                 if length >= self.window:
-                    found |= self.window_items[self._suffix(state, self.window)]
+                    if state not in passed:
+                        passed.add(state)
+                        found |= self.window_items[state]
                     hit[start + at + 1 - self.window] += 1
                     hit[start + at + 1] -= 1
                 short = self.short_from[state]
@@ -145,16 +153,17 @@ _FOUND = [
     T.StructField("starts", T.ArrayType(T.IntegerType())),
     T.StructField("ends", T.ArrayType(T.IntegerType())),
     T.StructField("items", T.ArrayType(T.StringType())),
+    T.StructField("rest", T.StringType()),
 ]
 
 
-def _scan(shared):
+def _scan(shared, cut: bool):
     """One pass over documents: adds the hit word spans and items of one block to those found before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value
         for batch in slices(batches, "text"):
-            n_words, starts, ends, items = [], [], [], []
+            n_words, starts, ends, items, rest = [], [], [], [], []
             for text, old_starts, old_ends, old_items in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "ends", "items")), strict=True):
                 words = words_of((text or "").encode())
                 hit, found = automaton.hits(words)
@@ -165,24 +174,27 @@ def _scan(shared):
                 starts.append(edges[::2].tolist())
                 ends.append(edges[1::2].tolist())
                 items.append(sorted({x for x in found if x is not None}.union(old_items or ())))
-            new = {"n_words": pa.array(n_words, pa.int64()), "starts": pa.array(starts, pa.list_(pa.int32())), "ends": pa.array(ends, pa.list_(pa.int32())), "items": pa.array(items, pa.list_(pa.string()))}
+                rest.append(cut_spans(text, starts[-1], ends[-1]) if cut and starts[-1] else None)
+            new = {"rest": pa.array(rest, pa.string()), "n_words": pa.array(n_words, pa.int64()), "starts": pa.array(starts, pa.list_(pa.int32())), "ends": pa.array(ends, pa.list_(pa.int32())), "items": pa.array(items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([new.get(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True)], names=batch.schema.names)
 
     return run
 
 
-def scanned(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """row (all columns of docs), text, n_words, starts, ends, items: one pass, no shuffle, for each block of items."""
+def scanned(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, cut: bool = False) -> DataFrame:
+    """row (all columns of docs), text, n_words, starts, ends, items, rest: one pass, no shuffle, for each block of
+    items. With cut, rest is the text without the spans, null where there are none."""
     spark = docs.sparkSession
     frame = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col(f"`{text}`").alias("text"),
         F.lit(0).cast("long").alias("n_words"),
-        *[F.array().cast(f.dataType).alias(f.name) for f in _FOUND[1:]],
+        *[F.array().cast(f.dataType).alias(f.name) for f in _FOUND[1:-1]],
+        F.lit(None).cast("string").alias("rest"),
     )
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in frame.schema.fields])
     for block in item_blocks(benchmark):
-        frame = map_arrow(frame, _scan(spark.sparkContext.broadcast(SuffixAutomaton(block, window))), schema)
+        frame = map_arrow(frame, _scan(spark.sparkContext.broadcast(SuffixAutomaton(block, window)), cut), schema)
     return frame
 
 
@@ -191,9 +203,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
 
     Defined cases: null texts and items have no words; an item of fewer words than the window is one window; an item
     without words never matches; repeated item ids count once, and items without an id mark words but are not listed.
-    docs keeps its rows, columns and repeated rows.
+    a text may be very long or repeat one word; an empty table gives an empty result. docs keeps its rows, columns and
+    repeated rows, but a column named like `into` is replaced.
     """
-    return scanned(docs, benchmark, text, window).select("row.*", F.struct(*[f.name for f in _FOUND]).alias(into))
+    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != into]
+    return scanned(docs, benchmark, text, window).select(*kept, F.struct(*[f.name for f in _FOUND[:-1]]).alias(into))
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -224,17 +238,14 @@ def cut_spans(text: str, starts: list[int], ends: list[int]) -> str:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", max_coverage: float = MAX_COVERAGE, max_items: int = CONTAMINATED_ITEMS) -> DataFrame:
     """docs without leaked words: spans of a window or more are cut out of the text; a document goes if hit words make
-    up more than max_coverage of it or max_items items or more were found. Documents without hits stay as they are."""
-    found = scanned(docs, benchmark, text)
+    up more than max_coverage of it or max_items items or more were found.
+
+    Defined cases: documents without hits, with a null or an empty text stay as they are; repeated rows are treated
+    alike; cases of items are those of find_contamination(); all columns stay, whatever their names."""
+    found = scanned(docs, benchmark, text, cut=True)
     hit = F.aggregate(F.zip_with("ends", "starts", lambda b, a: b - a), F.lit(0), lambda a, x: a + x)
     stay = found.where((F.size("items") < max_items) & (hit <= F.lit(max_coverage) * F.col("n_words")))
-
-    @F.pandas_udf(T.StringType())
-    def cut(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-        return pd.Series([cut_spans(t, a, b) if t else t for t, a, b in zip(texts, starts, ends, strict=True)], dtype=object)
-
-    shortened = F.when(F.size("starts") > 0, cut("text", "starts", "ends")).otherwise(F.col("text"))
-    return stay.select(*[(shortened if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return stay.select(*[(F.coalesce("rest", "text") if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def items_digest(items: Iterable[str]) -> str:

@@ -65,3 +65,21 @@ def test_empty_tables(spark):
     assert D.contamination_digest(docs, bench).collect() == []
     one = spark.createDataFrame([(1, "a b")], docs.schema)
     assert [tuple(r)[:4] for r in D.contamination_digest(one, bench).collect()] == [(1, 2, 0, 0)]
+
+
+def test_one_repeated_word_takes_linear_time():
+    import time
+
+    auto = D.SuffixAutomaton([("a", [b"ho"] * 3000), ("b", [b"ho"] * 3), ("c", [b"x", b"ho"] * 400)])
+    began = time.process_time()
+    hit, found = auto.hits([b"ho"] * 200_000 + [b"x", b"ho"] * 50_000)
+    assert time.process_time() - began < 20 and hit.all() and found == {"a", "b", "c"}
+
+
+def test_a_column_named_like_the_result_is_replaced(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six seven eight", "old", 3)], "doc_id long, text string, leak string, starts int")
+    items = spark.createDataFrame([("i", "two three four five six seven eight nine"), ("j", "seven eight")], "item_id string, text string")
+    got = D.find_contamination(docs, items)
+    assert got.columns == ["doc_id", "text", "starts", "leak"] and got.first().leak.items == ["j"] and got.first().starts == 3
+    left = D.decontaminate(docs, items).collect()
+    assert [tuple(r) for r in left] == [(1, "one two three four five six ", "old", 3)]
