@@ -88,7 +88,7 @@ def test_toxicity_is_learned_by_the_network_from_words_and_characters():
     new, clean = net.scores([f"{plain} zzgrkzzgrk qvloxqvlox {plain}".encode(), plain.encode()])
     assert new > 0.5 > clean
     net.p["word"][:], net.p["gram"][:] = 0, 0
-    assert len(set(net.scores([t for t, _ in test if len(t.split()) > 64]).round(3))) == 1
+    assert np.ptp(net.scores([t for t, _ in test])) < 0.1  # nothing else tells texts apart
 
 
 def test_gradients_equal_differences():
@@ -121,7 +121,7 @@ def test_gradients_equal_differences():
 def test_chunked_words_equal_whole():
     texts = [t.encode() for _, t, _, _ in corpus(80)]
     a, b = toxicity.Words(texts), toxicity.Words.of_many(texts, 3000)
-    assert (a.index == b.index).all() and (a.gram == b.gram).all() and (a.word == b.word).all() and (a.doc_starts == b.doc_starts).all()
+    assert (a.index == b.index).all() and (a.gram == b.gram).all() and (a.hashes == b.hashes).all() and (a.doc_starts == b.doc_starts).all()
 
 
 def test_windows_cover_every_word():
