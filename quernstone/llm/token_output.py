@@ -1,15 +1,16 @@
 """Training-order materialisation of token ids.
 
-Texts are encoded, joined with a separator id after each and cut into sequences of a fixed length inside each task.
-The packed sequences are written once; sequence counts by task give every sequence a dense global number; a keyed
-Feistel permutation with cycle-walking maps the number to a slot, its place in training order, without any shuffled
-list; a range partition by shard then brings each shard together in slot order. Every sequence has the same stride, so
-slot s lies at a known byte of a known shard and a reader can go on from any slot.
+Rows are dealt into buckets by a hash of key and text and ordered inside them, so that what is packed depends on the
+rows alone and not on how the input was split. Texts of a bucket are encoded, joined with a separator id after each and
+cut into sequences of a fixed length, which are written once. Sequence counts by bucket give every sequence a dense
+global number; a keyed Feistel permutation with cycle-walking maps the number to a slot, its place in training order,
+without any shuffled list; the partition of a sequence is its range of slots, one shard, known from the slot itself.
+Every sequence has the same stride, so slot s lies at a known byte of a known shard and a reader can go on from any slot.
 """
-
 import hashlib
 import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,14 +19,20 @@ from urllib.parse import urlparse
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_arrow, shared_folder, slices, written
+from .common import _freeing, dropped, map_arrow, shared_folder, slices, written
 
 VOCABULARY, SEPARATOR = "byte_bpe_50k.tiktoken", 50256
 LENGTH, PER_SHARD, KEY, ROUNDS = 2048, 4096, 0x5EED, 6
 DTYPE = np.dtype("<u2")
+#: Bytes of text in a bucket, buckets at most, and rounds in which shards are written: a round's share of the sequences
+#: is what a shuffle holds at a time.
+BUCKET_BYTES, BUCKETS, PASSES = 16 << 20, 20_000, 2
+#: The library's own splitting dies on much longer runs of white space.
+_LONG_SPACE = re.compile(r"\s{20000}")
 
 
 @lru_cache(maxsize=2)
@@ -40,6 +47,16 @@ def _encoding(name: str):
     return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def token_ids(text: str, name: str = VOCABULARY) -> list[int]:
+    """Ids of a text of any length."""
+    encoding = _encoding(name)
+    if len(text) < 20_000 or not _LONG_SPACE.search(text):
+        return encoding.encode_ordinary(text)
+    import public_tokenizers
+
+    return [i for piece in regex.finditer(public_tokenizers.PATTERN, text) for i in encoding._encode_single_piece(piece[0].encode())]
+
+
 class Packer:
     """Cuts a stream of token ids into sequences, with the rows that each sequence takes ids from."""
 
@@ -77,7 +94,7 @@ class Packer:
 
 def _pack(name: str, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer, part, nth = _encoding(name).encode_ordinary, Packer(length), TaskContext.get().partitionId(), 0
+        packer, part, nth = Packer(length), TaskContext.get().partitionId(), 0
 
         def out(found):
             nonlocal nth
@@ -88,7 +105,7 @@ def _pack(name: str, length: int):
             return pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), numbers, pa.array(lengths, pa.int32()), lists, pa.array(tokens, pa.binary())], names=["part", "nth", "n_tokens", "doc_ids", "tokens"])
 
         for batch in slices(batches, "text"):
-            packer.add([np.array([*encode(t or ""), SEPARATOR], DTYPE) for t in batch.column("text").to_pylist()], batch.column("id"))
+            packer.add([np.array([*token_ids(t or "", name), SEPARATOR], DTYPE) for t in batch.column("text").to_pylist()], batch.column("id"))
             if found := packer.take():
                 yield out(found)
         if found := packer.take(all_of_it=True):
@@ -124,19 +141,15 @@ def permuted(numbers: np.ndarray, size: int, key: int = KEY, inverse: bool = Fal
     return x.astype(np.int64)
 
 
-def materialise(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, per_shard: int = PER_SHARD, seed: int = KEY, vocabulary: str = VOCABULARY) -> DataFrame:
-    """All sequences in training order: slot, shard, byte_offset, n_tokens, doc_ids, tokens (unsigned 16-bit ids).
-
-    Each text gives its ids and one separator; a task's last sequence is filled up with separators, and n_tokens says
-    how many ids are its own. Slots are dense from 0. Defined cases: a null or empty text gives its separator only;
-    repeated rows are packed again; null keys stay null in doc_ids; an empty table gives no sequence; other columns are
-    not read. The same input files and key give the same slots; a lost task packs the same sequences again.
-    """
+def _placed(docs: DataFrame, key: str, text: str, length: int, per_shard: int, seed: int, vocabulary: str, scratch: list | None = None) -> tuple[DataFrame, int]:
+    """All sequences with their slots and shards, and how many there are."""
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    packed = written(map_arrow(rows, _pack(vocabulary, length), f"part int, nth long, n_tokens int, doc_ids array<{kind}>, tokens binary"), "sequences")
-    # one row for each task that packed: as many as input splits, whatever they hold
-    counts = sorted((r.part, r.n) for r in packed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(max(1, -(-size // BUCKET_BYTES)), BUCKETS)  # by the rows, not by the machines
+    dealt = rows.withColumn("h", F.xxhash64("id", "text")).repartition(buckets, "h").sortWithinPartitions("h", "id", "text").drop("h")
+    packed = written(map_arrow(dealt, _pack(vocabulary, length), f"part int, nth long, n_tokens int, doc_ids array<{kind}>, tokens binary"), "sequences", scratch)
+    counts = sorted((r.part, r.n) for r in packed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())  # BUCKETS rows at most
     total = sum(n for _, n in counts)
     begins = np.cumsum([0, *[n for _, n in counts]])[:-1].tolist()
     offsets = docs.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(counts, begins, strict=True)], "part int, begin long")
@@ -147,8 +160,25 @@ def materialise(docs: DataFrame, key: str = "doc_id", text: str = "text", length
 
     placed = packed.join(F.broadcast(offsets), "part").withColumn("slot", slot(F.col("begin") + F.col("nth")))
     placed = placed.withColumn("shard", F.expr(f"slot div {per_shard}"))
-    ordered = placed.repartitionByRange(max(1, -(-total // per_shard)), "shard").sortWithinPartitions("slot")
-    return ordered.select("slot", "shard", ((F.col("slot") % per_shard) * (length * DTYPE.itemsize)).alias("byte_offset"), "n_tokens", "doc_ids", "tokens")
+    return placed.select("slot", "shard", ((F.col("slot") % per_shard) * (length * DTYPE.itemsize)).alias("byte_offset"), "n_tokens", "doc_ids", "tokens"), total
+
+
+def _ordered(placed: DataFrame, first: int, end: int) -> DataFrame:
+    """One partition for each of the shards, in slot order."""
+    return placed.repartitionById(max(1, end - first), (F.col("shard") - first).cast("int")).sortWithinPartitions("slot")
+
+
+def materialise(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, per_shard: int = PER_SHARD, seed: int = KEY, vocabulary: str = VOCABULARY) -> DataFrame:
+    """All sequences in training order: slot, shard, byte_offset, n_tokens, doc_ids, tokens (unsigned 16-bit ids).
+
+    Each text gives its ids and one separator; a bucket's last sequence is filled up with separators, and n_tokens says
+    how many ids are its own. Slots are dense from 0. Defined cases: a null or empty text gives its separator only; a
+    text may have any length, in one run or many; repeated rows are packed again, next to each other; null keys stay
+    null in doc_ids; an empty table gives no sequence; other columns are not read. The same rows and key give the same
+    slots, however the input is split; a lost task packs the same sequences again.
+    """
+    placed, total = _placed(docs, key, text, length, per_shard, seed, vocabulary)
+    return _ordered(placed, 0, -(-total // per_shard))
 
 
 def _folder(path: str) -> str:
@@ -192,11 +222,17 @@ def write_shards(sequences: DataFrame, folder: str) -> DataFrame:
     return map_arrow(sequences.select("shard", "tokens"), run, "shard long, n long, sha256 string")
 
 
-def finish(manifest: DataFrame, folder: str, length: int = LENGTH, per_shard: int = PER_SHARD, seed: int = KEY) -> dict:
-    """Run write_shards and leave manifest.json: one row for each shard, by which a reader checks and resumes."""
-    shards = sorted(map(tuple, manifest.collect()))
+def finish(manifests: list[DataFrame], folder: str, length: int = LENGTH, per_shard: int = PER_SHARD, seed: int = KEY) -> dict:
+    """Run write_shards, one frame after another, and leave manifest.json: one row for each shard, by which a reader
+    checks and resumes."""
+    shards = []
+    for manifest in manifests:
+        with _freeing(manifest.sparkSession):
+            shards += map(tuple, manifest.collect())  # one row for each file
+    shards.sort()
     about = {"length": length, "per_shard": per_shard, "dtype": DTYPE.str, "seed": seed, "total": sum(s[1] for s in shards), "shards": shards}
     path = f"{_folder(folder)}/manifest.json"
+    os.makedirs(_folder(folder), exist_ok=True)
     with open(path + ".part", "w") as out:
         json.dump(about, out)
     os.replace(path + ".part", path)
@@ -222,15 +258,20 @@ def _read(place: str, stride: int):
     return run
 
 
-def stored(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, per_shard: int = PER_SHARD, seed: int = KEY, vocabulary: str = VOCABULARY, folder: str | None = None) -> DataFrame:
+def stored(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, per_shard: int = PER_SHARD, seed: int = KEY, vocabulary: str = VOCABULARY, folder: str | None = None, passes: int = PASSES) -> DataFrame:
     """The rows of materialise(), their tokens as read back from the shards that are written to `folder` with a
-    manifest first: a new one in the shared folder unless given. The folder must be mounted by all machines."""
-    folder = folder or f"{shared_folder(docs.sparkSession).rstrip('/')}/shards-{uuid.uuid4().hex}"
-    sequences = materialise(docs, key, text, length, per_shard, seed, vocabulary)
-    finish(write_shards(sequences, folder), folder, length, per_shard, seed)
-    rows = sequences.drop("tokens")
+    manifest first: a new one in the shared folder unless given. The folder must be mounted by all machines. Shards are
+    written in `passes` rounds of consecutive shards, so that a shuffle holds a part of the sequences only."""
+    spark, scratch = docs.sparkSession, []
+    folder = folder or f"{shared_folder(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
+    placed, total = _placed(docs, key, text, length, per_shard, seed, vocabulary, scratch)
+    edges = sorted({round(i * -(-total // per_shard) / passes) for i in range(passes + 1)})
+    rounds = [_ordered(placed.where(F.col("shard").between(a, b - 1)), a, b) for a, b in zip(edges, edges[1:], strict=False)]
+    finish([write_shards(r, folder) for r in rounds], folder, length, per_shard, seed)
+    rows = written(placed.drop("tokens"), "places")
+    dropped(spark, scratch)
     kinds = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes)
-    return map_arrow(rows, _read(_folder(folder), length * DTYPE.itemsize), f"{kinds}, tokens binary")
+    return map_arrow(_ordered(rows, 0, -(-total // per_shard)), _read(_folder(folder), length * DTYPE.itemsize), f"{kinds}, tokens binary")
 
 
 def read_slots(folder: str, start: int = 0) -> Iterator[np.ndarray]:

@@ -52,7 +52,7 @@ def test_shards_are_written_and_resumed(spark, tmp_path):
     docs = spark.createDataFrame(list(rows()), "doc_id long, text string").repartition(2)
     got = T.materialise(docs, length=64, per_shard=16)
     want = [r.tokens for r in sorted(got.collect())]
-    about = T.finish(T.write_shards(got, f"file://{tmp_path}/out"), f"{tmp_path}/out", 64, 16)
+    about = T.finish([T.write_shards(got, f"file://{tmp_path}/out")], f"{tmp_path}/out", 64, 16)
     assert about["total"] == len(want) and [s[0] for s in about["shards"]] == list(range(-(-len(want) // 16)))
     for start in (0, 1, 16, 37, len(want) - 1, len(want)):
         assert [x.tobytes() for x in T.read_slots(f"{tmp_path}/out", start)] == want[start:]
@@ -93,3 +93,27 @@ def test_the_query_returns_what_its_shards_hold(spark, tmp_path):
     (made,) = [x for x in set(os.listdir(place)) - before if x.startswith("shards-")]
     assert [x.tobytes() for x in T.read_slots(f"{place}/{made}")] == [r.tokens for r in found]
     assert T.stored(docs.limit(0), folder=f"{tmp_path}/none").collect() == []
+
+
+def test_slots_do_not_depend_on_splits(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(T, "BUCKET_BYTES", 3000)
+    docs = spark.createDataFrame(list(rows()), "doc_id long, text string")
+    for n in (2, 7):
+        T.stored(docs.repartition(n), length=64, per_shard=16, folder=f"file://{tmp_path}/{n}", passes=3).collect()
+    names = sorted(p.name for p in (tmp_path / "2").iterdir())
+    assert len(names) > 4 and names == sorted(p.name for p in (tmp_path / "7").iterdir())
+    assert all((tmp_path / "2" / x).read_bytes() == (tmp_path / "7" / x).read_bytes() for x in names)
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000 + "x", "a" * 300_000, "ab " * 300_000, "\n \t" * 300_000 + "end"])
+def test_texts_of_a_million_characters(text):
+    ids = T.token_ids(text)
+    assert T._encoding(T.VOCABULARY).decode(ids) == text
+
+
+def test_long_runs_of_space_give_the_ids_of_the_plain_way(monkeypatch):
+    texts = ["a  b", " " * 30 + "x y", "x\n\n  \ty ", "  ", "it's 12  é本" + " " * 9]
+    want = [T.token_ids(t) for t in texts]
+    monkeypatch.setattr(T, "_LONG_SPACE", T.re.compile(""))
+    monkeypatch.setattr(T, "len", lambda x: 1 << 20, raising=False)
+    assert [T.token_ids(t) for t in texts] == want
