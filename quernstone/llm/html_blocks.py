@@ -8,7 +8,8 @@ import re
 # Elements by their part in HTML.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn del em font i ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr br img nobr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style noscript template title textarea select button iframe object svg math canvas audio video map datalist noframes".split())
+RAW = frozenset("script style title textarea iframe".split())
+UNSEEN = RAW | frozenset("noscript template select button object svg math canvas audio video map datalist noframes".split())
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 HOLDS = frozenset("ul ol dl table body article section div main td th".split())
@@ -33,13 +34,16 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
 
     A block ends where an element that is not inline begins or ends; br is white space. Character references are
     decoded after the tags are found; white space becomes one space. Comments, declarations and elements that show no
-    text of the page (scripts, styles, controls) are left out. Tags may be unclosed, crossed or cut off.
+    text of the page (scripts, styles, controls) are left out up to their end tags. Such an element without an end tag
+    of its own, unless it holds raw text, ends where the next block does or begins, so that it swallows no more than its
+    label. Tags may be unclosed, crossed or cut off; pages may be of any length.
     """
     out: list = []
     stack: list[tuple[str, str]] = []
     buffer: list[str] = []
     linked = links = at = 0
     end = len(page)
+    muted, never = False, set()
 
     def flush() -> None:
         nonlocal linked
@@ -61,7 +65,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         lt = page.find("<", at)
         if lt < 0:
             lt = end
-        if lt > at:
+        if lt > at and not muted:
             buffer.append(page[at:lt])
             linked += (lt - at) * (links > 0)
         if lt == end:
@@ -76,7 +80,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 at = end if close < 0 else close + 1
             continue
         if not (follows.isalpha() or follows == "/"):
-            buffer.append("<")
+            buffer.append("<" * (not muted))
             at = lt + 1
             continue
         match = _TAG.match(page, lt)
@@ -93,12 +97,21 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             closing, tag, attributes = "/" * (follows == "/"), names[1].lower(), ""
         if tag in UNSEEN:
             if not closing and not attributes.endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\s*>?", re.IGNORECASE).search(page, at)
-                at = end if close is None else close.end()
+                mark = rf"<(/){tag}\s*>?" if tag in RAW else rf"<(/?){tag}(?![^\s/>])[^<>]*>?"
+                close = None if tag in never else re.compile(mark, re.IGNORECASE).search(page, at)
+                if close is None:
+                    never.add(tag)
+                if close is not None and close[1]:
+                    at = close.end()
+                elif tag in RAW:
+                    at = end
+                else:
+                    muted = True
             continue
         inline = tag in INLINE
         if not inline:
             flush()
+            muted = False
         elif tag == "br":
             buffer.append(" ")
         if tag in VOID:

