@@ -26,3 +26,21 @@ def test_empty_and_clashing_columns(spark):
     assert exact_dedup(docs).collect() == []
     kept = keep_first(spark.createDataFrame(ROWS[:4], SCHEMA))
     assert kept.columns == ["doc_id", "text", "digest"] and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4]
+
+
+def test_texts_of_one_digest_are_told_apart_by_content(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from quernstone.llm import exact_dedup as E
+
+    plain = E._rows
+    monkeypatch.setattr(E, "_rows", lambda *a: plain(*a).withColumn("digest", F.when(F.col("content").isin("x", "y"), F.lit("same")).otherwise(F.col("digest"))))
+    docs = spark.createDataFrame([(1, "x"), (2, "X"), (3, "y"), (4, "z"), (5, "Y"), (6, "w")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup(docs).collect()) == [(1, 2, 2), (2, 2, 2), (3, 5, 2), (4, 4, 1), (5, 5, 2), (6, 6, 1)]
+
+
+def test_one_row_of_each_group_is_kept_and_names_may_have_dots(spark):
+    docs = spark.createDataFrame([(7, "x one", 1), (7, "y two", 2), (7, "x one", 3), (None, "q", 4), (None, "q", 5), (1, "X ONE", 6)], "`a.id` long, `t.x` string, keep_id int")
+    kept = keep_first(docs, "a.id", "t.x")
+    assert kept.columns == docs.columns
+    assert sorted(((r[0], r[1]) for r in kept.collect()), key=str) == sorted([(7, "x one"), (7, "y two"), (None, "q")], key=str)
+    assert exact_dedup(docs, "a.id", "t.x").count() == 6
