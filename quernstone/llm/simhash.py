@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpointed, map_arrow, slices
+from .common import attached, checkpointed, map_arrow, salt, salts_seen, slices, written
 
 BITS, RADIUS, SHINGLE, SEED, CHUNK = 64, 4, 4, 42, 2048
 _BUFFER = 1 << 16
@@ -138,11 +138,14 @@ def _links(radius: int):
 
 def links(prints: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
     """Rows (a, b): links enough to connect all distinct fingerprints `fp` that differ in at most `radius` bits."""
+    spark = prints.sparkSession
     tables = F.array(*[F.struct(F.lit(v).alias("v"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for v, m in enumerate(masks(radius))])
-    keyed = prints.select("fp", F.explode(tables).alias("t")).select("fp", "t.v", "t.k")
-    sizes = keyed.groupBy("v", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    chunks = F.ceil(F.col("n") / F.lit(chunk)).cast("int")
-    rows = keyed.join(sizes, ["v", "k"]).withColumn("m", chunks).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
+    # as many tasks as a shuffle has, however few bytes the fingerprints are
+    spread = prints.select("fp").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")
+    keyed = spread.select("fp", F.explode(tables).alias("t")).select("fp", "t.v", "t.k")
+    large = written(keyed.groupBy("v", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk).select("v", "k", F.ceil(F.col("n") / F.lit(chunk)).cast("int").alias("m")), "large")
+    small = large.count() <= SENT  # 24 bytes each; else both sides are shuffled
+    rows = keyed.join(F.broadcast(large) if small else large, ["v", "k"], "left").withColumn("m", F.coalesce("m", F.lit(1))).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
     blocks = rows.select("v", "k", "fp", "c", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("o"))
     blocks = blocks.select("v", "k", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "fp")
     placed = blocks.repartition("v", "k", "i", "j").sortWithinPartitions("v", "k", "i", "j", "fp")
@@ -172,15 +175,17 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
 
     Defined cases: a null or blank text has the fingerprint 0 and links like any other; fewer words than a shingle
     count as one shingle; rows with a null key get the least non-null key of their component, or null if it has none;
-    repeated rows each get a row. An empty table gives an empty result. Other columns are not read.
+    repeated rows each get a row; texts of any length count in full. An empty table gives an empty result. Other columns
+    are not read.
     """
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    prints = checkpointed(map_arrow(rows, _fingerprints(shingle), f"id {dict(rows.dtypes)['id']}, fp long"))
-    distinct = prints.groupBy("fp").agg(F.min("id").alias("first"))
+    prints = written(map_arrow(rows, _fingerprints(shingle), f"id {dict(rows.dtypes)['id']}, fp long"), "prints").withColumn("salt", salt("id"))
+    distinct = written(prints.groupBy("fp").agg(F.min("id").alias("first"), salts_seen(F.col("salt")).alias("salts")), "distinct")
     roots = stars(links(distinct.select("fp"), radius))
-    placed = distinct.join(roots, distinct.fp == roots.a, "left").select("fp", "first", F.coalesce("b", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(placed.join(least, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+    placed = distinct.join(roots, distinct.fp == roots.a, "left").select("fp", "first", "salts", F.coalesce("b", "fp").alias("root")).withColumn("salt", salt("fp"))
+    least = placed.groupBy("root").agg(F.min("first").alias("component_id"), salts_seen(F.col("salt")).alias("salts"))
+    named = attached(placed.withColumnRenamed("salts", "own"), least, "root").select("fp", "component_id", F.col("own").alias("salts"))
+    return attached(prints, named, "fp").select("id", "fp", "component_id")
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:
@@ -316,10 +321,8 @@ def _sets(shingle: int):
 
 
 def _freed(df: DataFrame) -> DataFrame:
-    """A checkpoint after which Spark's cleaner may drop the shuffle files of earlier steps."""
-    out = checkpointed(df)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    """Cut off from what made it, whose shuffle files go."""
+    return written(df, "step")
 
 
 def similar(docs: DataFrame, key: str, text: str, shingle: int, similarity: float, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
@@ -334,12 +337,13 @@ def similar(docs: DataFrame, key: str, text: str, shingle: int, similarity: floa
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("th"))
     common = docs.sparkSession.sparkContext.broadcast(_common(rows, shingle))
     kind = dict(rows.dtypes)["id"]
-    found = checkpointed(map_arrow(rows, _described(shingle, similarity, common), f"id {kind}, th long, s long, fp long, n int, first binary"))
-    sets = _freed(found.groupBy("s").agg(F.min("th").alias("th"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("first").alias("first")))
+    found = _freed(map_arrow(rows, _described(shingle, similarity, common), f"id {kind}, th long, s long, fp long, n int, first binary"))
+    found = found.withColumn("salt", salt("id", "th"))
+    sets = _freed(found.groupBy("s").agg(salts_seen(F.col("salt")).alias("salts"), F.min("th").alias("th"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("first").alias("first")))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct().join(sets.select("s", "th"), "s")
-        wanted = checkpointed(wanted)
+        wanted = _freed(wanted)
         small = wanted.count() <= SENT  # 16 bytes each; else both sides are shuffled
         texts = rows.select("th", "text").join(F.broadcast(wanted) if small else wanted, "th").select("s", "text")
         full = _freed(map_arrow(texts, _sets(shingle), "s long, set binary").dropDuplicates(["s"]))
@@ -361,7 +365,8 @@ def similar(docs: DataFrame, key: str, text: str, shingle: int, similarity: floa
     placed = dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "s")
     late = confirmed(_freed(map_arrow(placed, _candidates(similarity), "a long, b long").distinct()))
     roots = stars(early.union(late))
-    return found.join(roots.toDF("s", "c"), "s", "left").select("id", "th", F.coalesce("c", "s").alias("component"))
+    named = sets.select("s", "salts").join(roots.toDF("s", "c"), "s", "left").select("s", "salts", F.coalesce("c", "s").alias("component"))
+    return attached(found.select("id", "th", "s", "salt"), named, "s").select("id", "th", "component")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
