@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_arrow, slices
+from .common import map_arrow, release, slices
 from .decontaminate import _FOLD
 from .features import Bytes, grams, held_out, training_rows
 
@@ -49,7 +49,7 @@ class Words:
         self.doc_starts = np.cumsum(self.doc_lengths) - self.doc_lengths
 
     @classmethod
-    def of_many(cls, texts: list[bytes], chunk: int = 1 << 20) -> Words:
+    def of_many(cls, texts: list[bytes], chunk: int = 1 << 18) -> Words:
         """The same for a long list of texts, hashed a chunk of bytes at a time."""
         ends = np.cumsum([len(t) for t in texts])
         cuts = np.flatnonzero(np.diff(ends // chunk, prepend=0))
@@ -114,11 +114,9 @@ class Network:
 
     def learn_vocabulary(self, words: Words) -> None:
         """A vector for each word of enough texts; row 0 stands for all others."""
-        doc = np.repeat(np.arange(len(words.doc_lengths)), words.doc_lengths)
-        order = np.lexsort((doc, words.index))
-        index, doc = words.index[order], doc[order]
-        new = np.concatenate(([True], (index[1:] != index[:-1]) | (doc[1:] != doc[:-1])))
-        texts = np.bincount(index[new], minlength=len(words.hashes))
+        texts = np.zeros(len(words.hashes), np.int32)
+        for start, length in zip(words.doc_starts.tolist(), words.doc_lengths.tolist(), strict=True):
+            texts[np.unique(words.index[start : start + length])] += 1
         self.vocabulary = np.concatenate((np.zeros(1, np.uint64), words.hashes[texts >= SEEN]))  # hashes are in order
         rng = np.random.default_rng(len(self.vocabulary))
         self.p["word"] = (0.05 * rng.normal(size=(len(self.vocabulary), EMBED))).astype(np.float32)
@@ -346,7 +344,9 @@ def _score(shared):
 
 
 def _scored(docs: DataFrame, labels: DataFrame, others: list) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, labels, "toxic")))
+    net = fit(training_rows(docs, labels, "toxic"))
+    release()  # what training took goes back before the driver does anything else
+    shared = docs.sparkSession.sparkContext.broadcast(net)
     frame = docs.select(*others, F.col("text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:-1])
     return map_arrow(frame, _score(shared), f"{kinds}, score double")
