@@ -25,6 +25,27 @@ def ascii_lower(column):
     return F.translate(column, UPPER, LOWER)
 
 
+#: Parts that rows of one key may be dealt into where they meet what belongs to the key.
+SALTS = 16
+
+
+def salt(*by: str):
+    """A row's part, by what tells it apart from others of its key."""
+    return F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")
+
+
+def salts_seen(part):
+    """For an aggregation by key: which parts its rows are in, as bits."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1), part))
+
+
+def attached(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """Inner join on key of rows, with their part in `salt`, and one row for each key with its bits in `salts`: a key
+    that a third of all rows share meets its class in SALTS tasks."""
+    parts = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit("salts", i) == 1)
+    return rows.join(classes.withColumn("salt", F.explode(parts)).drop("salts"), [key, "salt"]).drop("salt")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -36,23 +57,51 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+@contextlib.contextmanager
+def _freeing(spark: SparkSession):
+    """Inside, shuffle files go at the end of the SQL execution that made them, and of the plan's description, which
+    the driver keeps for every execution, no more than a few pages stay."""
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "10000"}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    """Cut the lineage with a reliable checkpoint in the shared folder; the shuffle files behind it go."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _freeing(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder as Parquet and read it back: a compact way to cut lineage for wide rows.
-
-    The steps before it are done with then; a collection on the driver lets Spark's cleaner drop their shuffle files."""
+def written(df: DataFrame, label: str, scratch: list | None = None) -> DataFrame:
+    """Write to the shared folder as Parquet and read it back: a compact way to cut lineage for wide rows. The shuffle
+    files behind it go. scratch: gets the path, for dropped()."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    with _freeing(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, scratch: list) -> None:
+    """Delete tables of written() that nothing reads any more."""
+    for path in scratch:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+    scratch.clear()
+
+
 def map_arrow(frame: DataFrame, run, schema) -> DataFrame:
     """mapInArrow with batches of ARROW_ROWS rows, so that a worker holds a few MB of texts at a time. Workers live on
     from stage to stage: at a task's end they give back what they kept."""

@@ -1,23 +1,31 @@
 """Line deduplication as an exact set-similarity join, in DataFrame functions only.
 
-A line is the set of its white-space words. Lines of equal sets form a class. Two classes match at a Jaccard similarity
-of 0.8 or more; a line goes if a line of its own or a matching class comes before it (by key, then line number).
+A line is the set of its white-space words. Lines of equal sets form a class; classes are numbered in the order of their
+first places. Two classes match at a Jaccard similarity of 0.8 or more; a line goes if a line of its own or a matching
+class comes before it (by key, then line number).
 
 Words are ordered by rarity: occurrences are counted over the whole corpus in 2 ** 21 hash buckets, whose logarithms
 reach the tasks as one scalar subquery of fixed size. Any order that depends on the word alone makes the prefix filter
-exact, so a bucket that several words share costs candidates, never matches. Classes meet on the rarest words (prefix
-filter); length, position and parity filters drop meetings inside the join, and what is left is verified on the words
-themselves. A hot word is refined to pairs of words: two classes whose first common word it is share a second word in
-prefixes that are one word longer.
+exact, so a bucket that several words share costs candidates, never matches.
+
+One match is enough for a class, so crowds never meet as all pairs. First each class is held against the earliest class
+of each crowded word of its prefix: a minimum by word, linear in the lines. Classes that this settles are only looked at
+by others from then on. The others meet every earlier class on the words of the prefix; length, position and parity
+filters drop meetings inside the join. All candidates are verified on the words themselves at once. A hot word is
+refined to pairs of words: two classes whose first common word it is share a second word in prefixes that are one word
+longer.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import written
+from .common import dropped, written
 
-RARITY_LOG2, PLACES_LOG2, HOT_LOG2 = 21, 20, 9
+RARITY_LOG2, SEEN_LOG2, HOT_LOG2 = 21, 24, 9
+#: Classes that make a word crowded; words from which a line has a second parity, and up to which two parities tell
+#: enough for a match to be taken for likely.
+CROWD, WIDE, SURE = 16, 96, 250
 LONG = 250
 _LEVEL_SHIFT = 57
 _MASK = (1 << _LEVEL_SHIFT) - 1
@@ -55,30 +63,50 @@ def sketch(values: DataFrame, log2: int) -> Column:
     return parts.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("g", "e"))), lambda x: x["e"])).alias("levels")).scalar()
 
 
+def seen(values: DataFrame, least: int = 1) -> Column:
+    """Whether a hash h was seen `least` times in values, by buckets of a bitmap of fixed size: a function of h."""
+    word = 1 << (SEEN_LOG2 - 6)
+    counts = values.select(bucket(F.col("h"), SEEN_LOG2).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    bits = counts.select(F.shiftright("b", 6).alias("g"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b").bitwiseAND(F.lit(63))).alias("v"))
+    every = values.sparkSession.range(word).select(F.col("id").cast("int").alias("g"), F.lit(0).cast("long").alias("v"))
+    filled = bits.union(every).groupBy("g").agg(F.bit_or("v").alias("v"))
+    parts = filled.groupBy(F.shiftright("g", 9).alias("p")).agg(F.sort_array(F.collect_list(F.struct("g", "v"))).alias("e"))
+    parts = parts.select("p", F.transform("e", lambda x: x["v"]).alias("e"))
+    bitmap = parts.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("p", "e"))), lambda x: x["e"])).alias("bits")).scalar()
+    at = lambda h: bucket(h, SEEN_LOG2)
+    return lambda h: F.getbit(F.get(bitmap, F.shiftright(at(h), 6)), at(h).bitwiseAND(F.lit(63))) == 1
+
+
 def rarity(found: DataFrame) -> Column:
     """For each bucket of words twice the logarithm of how often they occur."""
     counts = found.select(F.explode(words(F.col("line"))).alias("w")).select(bucket(F.xxhash64("w"), RARITY_LOG2).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
     return sketch(counts.select("b", F.least(F.floor(2 * F.log2("n")), F.lit(63)).cast("int").alias("v")), RARITY_LOG2)
 
 
+def _parity(hashes: Column) -> Column:
+    flip = lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))
+    return F.aggregate(hashes, F.lit(0).cast("long"), flip)
+
+
 def keyed(found: DataFrame, levels: Column) -> DataFrame:
-    """id, tx, at, n (distinct words), k1 and sig (64 and 32 bits of the set), lead: the prefix for 0.8 and one more.
+    """id, tx, at, n (distinct words), k1 (64 bits of the set), sig, sig2 and lead: the prefix for 0.8 and one more.
 
     lead has the rarest words as numbers: 0 for a word that occurs once only, so that no two lines can share it, and
     negative numbers for hot words, which may occur more than 2 ** HOT_LOG2 times. Bit b of sig is the parity of the
-    words with hash b modulo 32, so two sets differ in at least as many words as their sigs in bits.
+    words with hash b modulo 64, so two sets differ in at least as many words as their sigs in bits. sig2 is the same
+    for every second word, in lines of more than WIDE words.
     """
     hashes = F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w)))
     # the scalar stands beside the lambda here; the optimizer moves it inside, where each line reads it in place
     rows = found.select("id", "tx", "at", hashes.alias("h"), levels.alias("levels"))
     packed = lambda h: F.shiftleft(F.get("levels", bucket(h, RARITY_LOG2)).cast("long"), _LEVEL_SHIFT).bitwiseOR(h.bitwiseAND(F.lit(_MASK)))
-    flip = lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1), x.bitwiseAND(F.lit(31)).cast("int")))
     rows = rows.select("id", "tx", "at", F.sort_array(F.transform("h", packed)).alias("s"))
-    rows = rows.select("id", "tx", "at", F.size("s").alias("n"), F.xxhash64("s").alias("k1"), F.aggregate("s", F.lit(0), flip).alias("sig"), "s")
+    half = F.filter("s", lambda x: x.bitwiseAND(F.lit(64)) != 0)
+    rows = rows.select("id", "tx", "at", F.size("s").alias("n"), F.xxhash64("s").alias("k1"), _parity(F.col("s")).alias("sig"), F.when(F.size("s") > WIDE, _parity(half)).otherwise(F.lit(0).cast("long")).alias("sig2"), "s")
     mark = lambda x: F.hash(x).bitwiseAND(F.lit((1 << 30) - 1)) + 1
     lead = lambda x: F.when(x <= _MASK, F.lit(0)).when(F.shiftright(x, _LEVEL_SHIFT) > 2 * HOT_LOG2, -mark(x)).otherwise(mark(x))
     short = F.transform(F.slice("s", F.lit(1), prefix(F.col("n")) + 1), lead)
-    return rows.select("id", "tx", "at", "n", "k1", "sig", F.when(F.col("n") > 3, short).otherwise(F.array().cast("array<int>")).alias("lead"))
+    return rows.select("id", "tx", "at", "n", "k1", "sig", "sig2", F.when(F.col("n") > 3, short).otherwise(F.array().cast("array<int>")).alias("lead"))
 
 
 def prefix(n: Column) -> Column:
@@ -91,8 +119,19 @@ def overlap(a: Column, b: Column) -> Column:
     return F.floor((F.lit(4) * (a + b) + 8) / 9)
 
 
+def near(a: str, b: str) -> tuple[Column, Column]:
+    """Of two classes: whether lengths and parities allow a match, and by how many bits the parities differ."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    na, nb = c(a, "n"), c(b, "n")
+    most = na + nb - 2 * overlap(na, nb)
+    d = F.bit_count(c(a, "sig").bitwiseXOR(c(b, "sig")))
+    x2 = c(a, "sig2").bitwiseXOR(c(b, "sig2"))
+    wide = F.when((na > WIDE) & (nb > WIDE), F.bit_count(x2) + F.bit_count(x2.bitwiseXOR(c(a, "sig").bitwiseXOR(c(b, "sig"))))).otherwise(d)
+    return (5 * na >= 4 * nb) & (5 * nb >= 4 * na) & (d <= most) & (wide <= most), wide
+
+
 def meetings(classes: DataFrame) -> DataFrame:
-    """cid, n, sig, id, at, pos, w: where each class can meet others.
+    """cid, n, sig, sig2, pos, w: where each class can meet others.
 
     Two similar classes have a first common word, inside both prefixes. If it is not hot they meet on it. If it is hot
     they share a second, later word inside prefixes longer by one, and meet on both words. Classes of more than
@@ -106,81 +145,89 @@ def meetings(classes: DataFrame) -> DataFrame:
     alone = lambda w, i: F.array(F.struct(i.alias("pos"), w.cast("long").alias("w")))
     hot = lambda w, i: F.concat(F.when(n <= LONG, second(w, i)).otherwise(none), F.when(5 * n > 4 * LONG, alone(w, i)).otherwise(none))
     places = F.transform("lead", lambda w, i: F.when((i >= p) | (w == 0), none).when(w > 0, alone(w, i)).otherwise(hot(w, i)))
-    own = ["cid", "n", "sig", F.col("first.id").alias("id"), F.col("first.at").alias("at")]
-    return classes.where(F.size("lead") > 0).select(*own, F.explode(F.flatten(places)).alias("m")).select("cid", "n", "sig", "id", "at", "m.pos", "m.w")
+    own = ["cid", "n", "sig", "sig2"]
+    return classes.where(F.size("lead") > 0).select(*own, F.explode(F.flatten(places)).alias("m")).select(*own, "m.pos", "m.w")
 
 
 def met(later: DataFrame, every: DataFrame) -> DataFrame:
-    """cid, d, y, y_id, y_at: for the classes in later, the earlier classes y that they meet and that pass the length,
-    position and parity filters; d counts differing parity bits. The smaller class of a pair needs the shorter prefix
-    for an overlap of 8/9 only."""
+    """cid, y: for the classes in later, the earlier classes y that they meet and that pass the length, position and
+    parity filters. The smaller class of a pair needs the shorter prefix for an overlap of 8/9 only."""
     a, b = later.alias("a"), every.alias("b")
     na, nb, pa, pb = F.col("a.n"), F.col("b.n"), F.col("a.pos"), F.col("b.pos")
-    least = overlap(na, nb)
     short = F.when(na <= nb, pa <= na - overlap(na, na)).otherwise(pb <= nb - overlap(nb, nb))
-    near = (5 * na >= 4 * nb) & (5 * nb >= 4 * na) & short & (F.least(na - pa, nb - pb) >= least)
-    d = F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig")).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-    earlier = F.struct("b.id", "b.at") < F.struct("a.id", "a.at")
-    found = a.join(b, (F.col("a.w") == F.col("b.w")) & near & (d <= na + nb - 2 * least) & earlier)
-    return found.select("a.cid", d.alias("d"), F.col("b.cid").alias("y"), F.col("b.id").alias("y_id"), F.col("b.at").alias("y_at"))
-
-
-def matching(pairs: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    """cid of the pairs (cid, y) whose lines have a Jaccard similarity of 0.8, from the words themselves."""
-    wanted = pairs.select(F.explode(F.array("cid", "y")).alias("cid")).distinct()
-    reps = written(classes.join(wanted, "cid").select("cid", "first", F.xxhash64("first").alias("h")), "reps")
-    # only lines whose place may be that of a wanted class are moved to it
+    places = short & (F.least(na - pa, nb - pb) >= overlap(na, nb))
+    found = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("b.cid") < F.col("a.cid")) & places & near("a", "b")[0])
+    return found.select("a.cid", F.col("b.cid").alias("y")).distinct()
+
+
+def earliest(classes: DataFrame) -> DataFrame:
+    """cid, y: for each class the nearest among the earliest classes that have a crowded word of its prefix, if
+    parities, or for long lines the rare words, say that they match. A word is crowded if CROWD classes have it: words
+    of fewer are left to others(). One row of a word for each task moves, however many classes share it."""
+    own = ["cid", "n", "sig", "sig2"]
+    rows = classes.where(F.size("lead") > 0).select(*own, F.explode(F.array_distinct(F.array_remove(F.slice("lead", F.lit(1), prefix(F.col("n"))), 0))).alias("w"))
+    crowded = seen(rows.select(F.xxhash64("w").alias("h")), CROWD)
+    rows = rows.where(crowded(F.xxhash64("w")))
+    firsts = rows.groupBy("w").agg(F.min("cid").alias("y")).join(classes.select(F.col("cid").alias("y"), *own[1:]), "y").withColumnRenamed("y", "cid")
+    likely, wide = near("a", "b")
+    pairs = rows.alias("a").join(firsts.alias("b"), (F.col("a.w") == F.col("b.w")) & (F.col("b.cid") < F.col("a.cid")) & likely)
+    best = pairs.groupBy("a.cid", "a.n").agg(F.min(F.struct(wide.alias("d"), F.col("b.cid").alias("y"))).alias("m")).select("cid", "n", "m.y")
+    sure = best.where(F.col("n") <= SURE).select("cid", "y")
+    long = best.where(F.col("n") > SURE).join(classes.select("cid", "lead"), "cid").join(classes.select(F.col("cid").alias("y"), F.col("lead").alias("other")), "y")
+    return sure.unionByName(long.where(2 * F.size(F.array_intersect("lead", "other")) > F.size(F.array_distinct("lead"))).select("cid", "y"))
+
+
+def others(left: DataFrame, classes: DataFrame) -> DataFrame:
+    """cid, y: every earlier class that the classes in left (cid) meet."""
+    wanted = meetings(classes.join(left, "cid", "left_semi"))
+    again = seen(meetings(classes).select(F.xxhash64("w").alias("h")), 2)
+    asked = seen(wanted.select(F.xxhash64("w").alias("h")))
+    return met(wanted.where(again(F.xxhash64("w"))), meetings(classes).where(again(F.xxhash64("w")) & asked(F.xxhash64("w"))))
+
+
+def matching(pairs: DataFrame, classes: DataFrame, found: DataFrame, scratch: list) -> DataFrame:
+    """cid of the pairs (cid, y) whose lines have a Jaccard similarity of 0.8, from the words themselves, and whose
+    places are not the same."""
     place = F.struct("id", "at", "tx")
-    places = sketch(reps.select(bucket(F.col("h"), PLACES_LOG2).alias("b"), F.lit(1).alias("v")), PLACES_LOG2)
-    maybe = F.get(places, bucket(F.xxhash64(place), PLACES_LOG2)) == 1
-    texts = found.where(maybe).select(place.alias("p"), F.xxhash64(place).alias("h"), "line")
-    distinct = F.array_distinct(words(F.col("line")))
-    flip = lambda half: F.aggregate(
-        F.transform(distinct, lambda w: F.xxhash64(w)), F.lit(0).cast("long"),
-        lambda a, h: F.when(h.bitwiseAND(F.lit(64)) == 64 * half, a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))).otherwise(a),
-    )
-    sets = texts.join(reps, "h").where(F.col("p").eqNullSafe(F.col("first"))).select("cid", "line").dropDuplicates(["cid"])
-    sets = written(sets.select("cid", "line", F.size(distinct).alias("m"), flip(0).alias("s0"), flip(1).alias("s1")), "sets")
-    # 128 parity bits drop most pairs that are not alike before any line is moved to a pair
-    sides = [sets.select(F.col("cid").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("m", "s0", "s1")]) for name in ("cid", "y")]
-    total = F.col("m_cid") + F.col("m_y")
-    differ = sum((F.bit_count(F.col(f"{c}_cid").bitwiseXOR(F.col(f"{c}_y"))) for c in ("s0", "s1")), F.lit(0))
-    close = pairs.join(sides[0], "cid").join(sides[1], "y").where(9 * (total - differ) >= 8 * total).select("cid", "y")
-    x, y = sets.select("cid", F.col("line").alias("x")), sets.select(F.col("cid").alias("y"), F.col("line").alias("z"))
+    wanted = pairs.select("cid").union(pairs.select("y")).distinct()
+    reps = written(classes.join(wanted, "cid").select("cid", "first", F.xxhash64("first").alias("h")), "reps", scratch)
+    # only lines whose place may be that of a wanted class are moved to it
+    maybe = seen(reps.select("h"))
+    texts = found.where(maybe(F.xxhash64(place))).select(place.alias("p"), F.xxhash64(place).alias("h"), "line")
+    sets = texts.join(reps, "h").where(F.col("p").eqNullSafe(F.col("first"))).select("cid", "line", F.struct("p.id", "p.at").alias("p")).dropDuplicates(["cid"])
+    sets = written(sets, "sets", scratch)
+    x, y = sets.select("cid", F.col("line").alias("x"), F.col("p").alias("px")), sets.select(F.col("cid").alias("y"), F.col("line").alias("z"), F.col("p").alias("py"))
     both = [F.array_distinct(words(F.col(c))) for c in "xz"]
     alike = 9 * F.size(F.array_intersect(*both)) >= 4 * (F.size(both[0]) + F.size(both[1]))
-    return close.join(x, "cid").join(y, "y").where(alike).select("cid").distinct()
+    return pairs.join(x, "cid").join(y, "y").where((F.col("py") < F.col("px")) & alike).select("cid").distinct()
 
 
-def repeated(classes: DataFrame, found: DataFrame) -> DataFrame:
+def repeated(classes: DataFrame, found: DataFrame, scratch: list) -> DataFrame:
     """cid of the classes that an earlier class matches.
 
-    One match is enough, so each class is first held against the earlier class nearest in parity bits, of which the
-    join keeps one for each class and task: a crowd of near copies gives one pair each, not all pairs. Classes that
-    this does not settle are then held against every earlier class they meet.
+    Classes without a likely match among the earliest are held against every earlier class they meet. If a likely match
+    is none after all, its class goes the same way afterwards, so no match is lost.
     """
-    rows = meetings(classes)
-    nearest = met(rows, rows).groupBy("cid").agg(F.min(F.struct("d", "y_id", "y_at", "y")).alias("m")).select("cid", "m.y")
-    nearest = written(nearest, "nearest")
-    settled = written(matching(nearest, classes, found), "settled")
-    left = nearest.join(settled, "cid", "left_anti")
-    later = written(meetings(classes.join(left.select("cid"), "cid", "left_semi")), "left")
-    words_left = sketch(later.select(bucket(F.xxhash64("w"), PLACES_LOG2).alias("b"), F.lit(1).alias("v")), PLACES_LOG2)
-    others = meetings(classes).where(F.get(words_left, bucket(F.xxhash64("w"), PLACES_LOG2)) == 1)
-    rest = met(later, others).select("cid", "y").distinct().join(nearest, ["cid", "y"], "left_anti")
-    return settled.union(matching(written(rest, "rest"), classes, found))
-
-
-def line_limits(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    likely = written(earliest(classes), "likely", scratch)
+    rest = written(others(classes.join(likely, "cid", "left_anti").select("cid"), classes), "rest", scratch)
+    settled = written(matching(likely.union(rest), classes, found, scratch), "settled", scratch)
+    unsure = written(likely.join(settled, "cid", "left_anti").select("cid"), "unsure", scratch)
+    if unsure.isEmpty():
+        return settled
+    return settled.union(matching(written(others(unsure, classes), "late", scratch), classes, found, scratch))
+
+
+def line_limits(docs: DataFrame, key: str, text: str, scratch: list) -> tuple[DataFrame, DataFrame]:
     """All lines by class key, and for classes that lose lines whether all go or all but the first place."""
     found = lines(docs, key, text)
-    rows = written(keyed(found, rarity(found)), "lines")
+    rows = written(keyed(found, rarity(found)), "lines", scratch)
     place = F.struct("id", "at", "tx")
-    classes = rows.groupBy("k1", "sig", "n", "lead").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"))
-    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    gone = repeated(classes, found).withColumn("all", F.lit(True))
-    limits = classes.select("cid", "k1", "sig", "copies", "first").join(gone, "cid", "left")
-    return rows, limits.where((F.col("copies") > 1) | F.col("all")).select("k1", "sig", F.struct("first.id", "first.at").alias("first"), F.coalesce("all", F.lit(False)).alias("all"))
+    classes = rows.groupBy("k1", "sig", "sig2", "n").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("lead").alias("lead"))
+    classes = written(classes.orderBy("first").withColumn("cid", F.monotonically_increasing_id()), "classes", scratch)
+    gone = repeated(classes, found, scratch).withColumn("all", F.lit(True))
+    limits = classes.select("cid", "k1", "sig", "n", "copies", "first").join(gone, "cid", "left").where((F.col("copies") > 1) | F.col("all"))
+    limits = limits.select("k1", "sig", "n", F.struct("first.id", "first.at").alias("first"), F.coalesce("all", F.lit(False)).alias("all"))
+    return rows, written(limits, "limits", scratch)
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", counts: bool = True) -> DataFrame:
@@ -189,31 +236,32 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", counts
     Without counts the columns are those of docs.
 
     Defined cases: a null text stays null and has no lines, an empty text has one; lines without words always stay and
-    match nothing; a line of three words or fewer matches equal sets only; of lines at one place (rows that repeat a
-    key) none is later than the other; a null key comes before all others. Columns named n_lines or n_removed are
-    replaced, others stay.
+    match nothing; a line of three words or fewer matches equal sets only; a line may have any length and is compared in
+    full; of lines at one place (rows that repeat a key) none is later than the other; a null key comes before all
+    others; an empty table gives an empty result. Columns named n_lines or n_removed are replaced, others stay.
     """
-    rows, limits = line_limits(docs, key, text)
-    gone = rows.select("id", "tx", "at", "k1", "sig").join(limits, ["k1", "sig"]).where(F.col("all") | (F.struct("id", "at") > F.col("first")))
-    gone = gone.groupBy("id", "tx").agg(F.collect_set("at").alias("gone_at"))
-    gone = written(gone.select(F.struct("id", "tx").alias("gone_from"), "gone_at"), "gone")
+    scratch: list = []
+    rows, limits = line_limits(docs, key, text, scratch)
+    held = seen(limits.select(F.col("k1").alias("h")))
+    gone = rows.select("id", "tx", "at", "k1", "sig", "n").where(held(F.col("k1"))).join(limits, ["k1", "sig", "n"])
+    gone = gone.where(F.col("all") | (F.struct("id", "at") > F.col("first"))).groupBy("id", "tx").agg(F.collect_set("at").alias("gone_at"))
+    gone = written(gone.select(F.struct("id", "tx").alias("gone_from"), "gone_at", F.xxhash64("id", "tx").alias("h")), "gone")
+    dropped(docs.sparkSession, scratch)
     made = ("n_lines", "n_removed") if counts else ()
     others = [c for c in docs.columns if c not in (text, *made)] or [key]
     whole = F.col(f"`{text}`")
     mark = F.struct(F.col(f"`{key}`").alias("id"), F.xxhash64(F.coalesce(whole, F.lit(""))).alias("tx"))
-    frame = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), mark.alias("mark"), whole.alias("text"))
+    frame = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), mark.alias("mark"), whole.alias("text")).withColumn("h", F.xxhash64("mark.id", "mark.tx"))
     # documents that surely lose no line stay where they are
-    touched = sketch(gone.select(bucket(F.xxhash64("gone_from"), PLACES_LOG2).alias("b"), F.lit(1).alias("v")), PLACES_LOG2)
-    maybe = F.get(touched, bucket(F.xxhash64("mark"), PLACES_LOG2)) == 1
-    moved = frame.where(maybe).withColumn("h", F.xxhash64("mark"))
-    gone = gone.withColumn("h", F.xxhash64("gone_from"))
-    joined = moved.join(gone, (moved["h"] == gone["h"]) & F.col("mark").eqNullSafe(F.col("gone_from")), "left").select("row", "text", "gone_at")
+    maybe = seen(gone.select("h"))(F.col("h"))
+    joined = frame.where(maybe).join(gone.withColumnRenamed("h", "g"), (F.col("h") == F.col("g")) & F.col("mark").eqNullSafe(F.col("gone_from")), "left").select("row", "text", "gone_at")
     joined = joined.unionByName(frame.where(~maybe).select("row", "text", F.lit(None).cast("array<int>").alias("gone_at")))
     split = F.split("text", "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone_at"))
     rest = F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n")
     shown = {text: F.when(F.col("gone_at").isNull(), F.col("text")).otherwise(rest)}
-    shown["n_lines"] = F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long")
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    shown["n_lines"] = F.coalesce(breaks + 1, F.lit(0)).cast("long")
     shown["n_removed"] = F.coalesce(F.size("gone_at"), F.lit(0)).cast("long")
     wanted = [c for c in docs.columns if c not in made]
     return joined.select(*[(shown[c] if c == text else F.col(f"row.`{c}`")).alias(c) for c in wanted], *[shown[c].alias(c) for c in made])

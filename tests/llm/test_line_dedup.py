@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from quernstone.llm import line_dedup as L
 
 
@@ -44,6 +46,11 @@ def case(seed, n=40):
     return [*rows, (7, rows[3][1]), (8, rows[8][1]), (None, rows[5][1] + "\nnull key line of its own here"), (90, None), (91, ""), (92, "\n \n\t"), (93, "long line " + "x y z " * 20_000)]
 
 
+@pytest.fixture(autouse=True)
+def small_bitmaps(monkeypatch):
+    monkeypatch.setattr(L, "SEEN_LOG2", 16)
+
+
 def compare(spark, rows):
     docs = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, n_lines string").repartition(3)
     got = L.dedup_lines(docs)
@@ -62,6 +69,31 @@ def test_hot_words_are_refined_without_loss(spark, monkeypatch):
     compare(spark, case(4, 60))
 
 
+@pytest.mark.parametrize(("crowd", "sure"), [(2, 250), (1, 2)])
+def test_crowds_meet_their_earliest_first(spark, monkeypatch, crowd, sure):
+    monkeypatch.setattr(L, "CROWD", crowd)
+    monkeypatch.setattr(L, "SURE", sure)
+    monkeypatch.setattr(L, "WIDE", 6)
+    rng = random.Random(5)
+    base = [f"c{k}" for k in range(24)]
+    crowd_rows = []
+    for i in range(40):
+        line = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 6])):
+            line[rng.randrange(24)] = f"o{rng.randrange(30)}"
+        crowd_rows.append((200 + i, " ".join(line) + "\n" + " ".join(line[:12])))
+    compare(spark, crowd_rows + case(6, 20))
+
+
+def test_unlikely_likely_matches_are_held_against_all(spark, monkeypatch):
+    """Parities that say nothing make wrong guesses, which the words correct."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(L, "CROWD", 1)
+    monkeypatch.setattr(L, "_parity", lambda hashes: F.lit(0).cast("long"))
+    compare(spark, case(8, 40))
+
+
 def test_shared_rare_buckets_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(L, "RARITY_LOG2", 11)
     compare(spark, case(3))
