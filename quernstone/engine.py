@@ -8,7 +8,7 @@ from . import metrics
 from .catalog import RID, Catalog, numbered_file
 from .model import Kind, Query, QueryError, Status
 from .plans.planner import Planner
-from .sources import snapshot
+from .sources import files, snapshot
 from .sources.store import Store
 from .sources.text import read_columns
 from .tiering import COLD, HOST, Tiering
@@ -101,17 +101,26 @@ class Engine:
         return self.save(f"{prefix}.catalog")
 
     def restore(self, prefix: str) -> bool:
+        """False, with all as it was, if there is no sound catalog or the store has no room for every key."""
+        kept = None
+        if self.store:
+            kept = self.spark.read.parquet(f"{prefix}.kv") if files.exists(self.spark, f"{prefix}.kv") else None
+            if kept is None or kept.select("key").union(self.store.state().select("key")).distinct().count() > self.store.capacity:
+                return False
         if not self.load(f"{prefix}.catalog"):
             return False
-        if self.store:
-            self.store.begin()
-            for r in self.spark.read.parquet(f"{prefix}.kv").toLocalIterator():
-                self.store.txn_put(r.key, r.value)
-            self.store.commit()
+        if kept is not None:
+            self.store.write(kept, "key")
         return True
 
+    def save_column(self, name: str, path: str) -> None:
+        snapshot.save_column(self.catalog, name, path)
+
+    def load_column(self, path: str, name: str | None = None) -> str:
+        return snapshot.load_column(self.catalog, path, name)
+
     def health(self) -> dict[str, int]:
-        pending = len(self.store.about["log"]) if self.store else 0
+        pending = len(self.store.about["log"]) + len(self.store.pending) if self.store else 0
         dropped = self.store.dropped if self.store else 0
         return dict(zip(metrics.HEALTH, (int(dropped == 0), int(self.store is not None), len(self.catalog.columns), self.tiering.used(), pending, dropped), strict=True))
 

@@ -48,3 +48,14 @@ def encode_dictionary(frame: DataFrame, column: str) -> DataFrame:
 
     values = frame.select(F.col(column).alias("value")).where("value IS NOT NULL").distinct().orderBy("value")
     return numbered(values).select("value", F.col(RID).alias("code"))
+
+
+def encode_values(frame: DataFrame, column: str, codes: DataFrame) -> DataFrame:
+    """Adds code by a dictionary of encode_dictionary(); a string that it lacks has the dictionary's size as code."""
+    known = codes.select(F.col("value").alias("_value"), "code")
+    return frame.join(known, F.col(column) == F.col("_value"), "left").withColumn("code", F.coalesce("code", F.lit(codes.count()))).drop("_value")
+
+
+def decode_values(frame: DataFrame, codes: DataFrame) -> DataFrame:
+    """Adds value by the column code; a code that the dictionary lacks is the empty string."""
+    return frame.join(codes.select("code", "value"), "code", "left").withColumn("value", F.coalesce("value", F.lit("")))

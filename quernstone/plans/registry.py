@@ -305,3 +305,97 @@ def _stream(spark, sf_dir):
     pipe = stream.Pipeline(spark, f"{place}/out", spark.range(1000).select(F.col("id").alias("v")), 500)
     pipe.start(f"{place}/in").awaitTermination()
     return pipe.final_state()
+
+
+# keys of 64 bits, facts with repeated keys, rows joined and then gathered
+_text("join_i64_count", "lineitem orders", "SELECT COUNT(*) JOIN l_orderkey = o_orderkey", "SELECT count(*) AS count FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+_text("join_i64_sum", "lineitem orders", "SELECT SUM(l_partkey) JOIN l_orderkey = o_orderkey", "SELECT CAST(sum(l_partkey) AS BIGINT) AS sum_l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+_text("join_fact_keys", "lineitem supplier", "SELECT COUNT(*) JOIN l_suppkey = s_suppkey", "SELECT count(*) AS count FROM lineitem JOIN supplier ON l_suppkey = s_suppkey")
+
+
+@_frame("join_then_gather", "SELECT l AS place, o_totalprice AS value FROM (SELECT o_custkey, o_totalprice, row_number() OVER () - 1 AS l FROM orders) JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'")
+def _join_gather(spark, sf_dir):
+    """Rows of orders whose customer is in one segment, found by a join and fetched by number."""
+    orders = numbered_file(_read(spark, sf_dir, "orders"))
+    chosen = numbered_file(_read(spark, sf_dir, "customer")).where("c_mktsegment = 'BUILDING'")
+    found = joins.join_pairs(orders, "o_custkey", chosen, "c_custkey")
+    return joins.gather(orders, "o_totalprice", found.select(F.col("left_row").alias("place"), F.col("left_row").alias("row")))
+
+
+_BRANDS = "SELECT p_brand AS v, row_number() OVER (ORDER BY p_brand) - 1 AS c FROM (SELECT DISTINCT p_brand FROM part WHERE p_partkey % 2 = 0 AND p_brand > 'Brand#2')"
+
+
+@_frame("dict_encode_absent", f"WITH d AS ({_BRANDS}) SELECT p_partkey, coalesce(c, (SELECT count(*) FROM d)) AS code FROM part LEFT JOIN d ON p_brand = v")
+def _encode_absent(spark, sf_dir):
+    parts = _read(spark, sf_dir, "part")
+    codes = joins.encode_dictionary(parts.where("p_partkey % 2 = 0 AND p_brand > 'Brand#2'"), "p_brand")
+    return joins.encode_values(parts.select("p_partkey", "p_brand"), "p_brand", codes).select("p_partkey", "code")
+
+
+@_frame("dict_decode_absent", f"WITH d AS ({_BRANDS}) SELECT p_partkey, coalesce(v, '') AS value FROM part LEFT JOIN d ON p_partkey % 40 = c")
+def _decode_absent(spark, sf_dir):
+    parts = _read(spark, sf_dir, "part")
+    codes = joins.encode_dictionary(parts.where("p_partkey % 2 = 0 AND p_brand > 'Brand#2'"), "p_brand")
+    return joins.decode_values(parts.select("p_partkey", (F.col("p_partkey") % 40).cast("long").alias("code")), codes).select("p_partkey", "value")
+
+
+@_frame("column_fingerprint", "SELECT CAST(coalesce(sum(CAST('0x' || substr(md5(CAST(o_custkey AS VARCHAR)), 1, 15) AS BIGINT)), 0) AS VARCHAR) AS checksum FROM orders")
+def _fingerprint(spark, sf_dir):
+    return kv.fingerprint(_read(spark, sf_dir, "orders"), "o_custkey")
+
+
+@_frame("csv_str_i64", "SELECT e AS event_type, count(v) AS count_v, CAST(sum(v) AS BIGINT) AS sum_v FROM (SELECT event_type AS e, 1000 - event_id AS v FROM events) GROUP BY 1")
+def _csv_kinds(spark, sf_dir):
+    place = tempfile.mkdtemp(prefix="quernstone-") + "/events"
+    _read(spark, sf_dir, "events").select(F.concat_ws(";", (1000 - F.col("event_id")).cast("string"), "event_type").alias("line")).write.text(place)
+    engine = Engine(spark)
+    engine.load_csv(place, {"v": (0, "i64"), "event_type": (1, "str")}, delimiter=";")
+    return engine.sql("SELECT COUNT(v), SUM(v) GROUP BY event_type")
+
+
+@_frame("column_file_roundtrip", "SELECT count(o_totalprice) AS count_o_totalprice, min(o_totalprice) AS min_o_totalprice, max(o_totalprice) AS max_o_totalprice FROM orders")
+def _column_file(spark, sf_dir):
+    place = tempfile.mkdtemp(prefix="quernstone-") + "/price"
+    _engine(spark, sf_dir, "orders").save_column("o_totalprice", place)
+    fresh = Engine(spark)
+    fresh.load_column(place)
+    return fresh.sql("SELECT COUNT(o_totalprice), MIN(o_totalprice), MAX(o_totalprice)")
+
+
+_STORED = "SELECT user_id AS key, max(event_id) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1"
+
+
+def _store(spark, sf_dir, capacity=1 << 40):
+    from ..sources.store import Store
+
+    store = Store(spark, tempfile.mkdtemp(prefix="quernstone-") + "/kv", capacity)
+    store.write(_log(spark, sf_dir).where("event_type = 'purchase'"))
+    return store
+
+
+@_frame("store_checkpoint_recovery", f"SELECT key, CASE key WHEN 3 THEN -3 ELSE value END AS value FROM ({_STORED} UNION ALL SELECT -1, 10) UNION ALL SELECT 3, -3 WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id = 3 AND event_type = 'purchase')")
+def _recovered(spark, sf_dir):
+    """A bulk write, a checkpoint, puts after it, and another store that opens the folder."""
+    store = _store(spark, sf_dir)
+    store.checkpoint()
+    store.put(-1, 10)
+    store.put(3, -3)
+    return type(store)(spark, store.path).state()
+
+
+@_frame("store_transactions", f"SELECT * FROM ({_STORED}) UNION ALL SELECT -1, 11 UNION ALL SELECT -2, 20")
+def _transactions(spark, sf_dir):
+    """One transaction that is committed, one that is rolled back and one that a crash leaves open."""
+    store = _store(spark, sf_dir)
+    for key, value, end in ((-1, 11, store.commit), (-5, 50, store.rollback), (-2, 20, store.commit), (-6, 60, None)):
+        store.begin()
+        store.txn_put(key, value)
+        if end:
+            end()
+    return type(store)(spark, store.path).state()
+
+
+@_frame("store_capacity", f"SELECT * FROM ({_STORED}) WHERE key IN (SELECT user_id FROM events WHERE event_type = 'purchase' GROUP BY 1 ORDER BY min(event_id), 1 LIMIT 20)")
+def _capacity(spark, sf_dir):
+    """New keys beyond the store's capacity are dropped, the first to come stay."""
+    return _store(spark, sf_dir, 20).state()

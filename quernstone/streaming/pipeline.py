@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.keyvalue import get, latest
+from ..sources import files
 
 READ, WRITE, SCAN, TXN_WRITE = 1, 2, 3, 4
 OPERATIONS = "seq long, opcode int, key long, value long"
@@ -55,15 +55,19 @@ def opcode_counts(frame: DataFrame) -> DataFrame:
 
 class Pipeline:
     """Folds micro-batches into key-value state on disk: each batch writes state number batch_id + 1 from state
-    batch_id, so a batch that runs again gives the same state, and counts are kept by batch."""
+    batch_id, so a batch that runs again gives the same state, and counts are kept by batch. The last `keep` states
+    stay, more than the one that a stream may run again."""
 
-    def __init__(self, spark: SparkSession, path: str, scanned: DataFrame | None = None, threshold: int = 0):
-        self.spark, self.path, self.scanned, self.threshold = spark, path, scanned, threshold
+    def __init__(self, spark: SparkSession, path: str, scanned: DataFrame | None = None, threshold: int = 0, keep: int = 8):
+        self.spark, self.path, self.scanned, self.threshold, self.keep = spark, path, scanned, threshold, max(2, keep)
 
     def state(self, batch: int) -> DataFrame:
+        """State before a batch: nothing before the first; FileNotFoundError if a later one is not there."""
         place = f"{self.path}/state/{batch}"
-        if batch <= 0 or not os.path.exists(place):
+        if batch <= 0:
             return self.spark.createDataFrame([], "key long, value long, seq long")
+        if not files.exists(self.spark, place):
+            raise FileNotFoundError(place)
         return self.spark.read.parquet(place)
 
     def apply(self, batch: DataFrame, number: int) -> None:
@@ -80,6 +84,9 @@ class Pipeline:
             counts = counts.withColumn("scanned", F.when(F.col("opcode") == SCAN, F.col("n") * hits).otherwise(0))
         counts.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/counts/{number}")
         batch.unpersist()
+        for name in files.names(self.spark, f"{self.path}/state"):
+            if int(name) <= number + 1 - self.keep:
+                files.delete(self.spark, f"{self.path}/state/{name}")
 
     def start(self, source: str, files_per_batch: int = 1) -> StreamingQuery:
         """Reads Parquet files as they come; at most files_per_batch in a batch is the back-pressure."""
@@ -90,8 +97,7 @@ class Pipeline:
         return self.spark.read.parquet(f"{self.path}/counts/*").groupBy("opcode").agg(*[F.sum(c).alias(c) for c in ("n", "scanned") if c == "n" or self.scanned is not None])
 
     def final_state(self) -> DataFrame:
-        numbers = [int(x) for x in os.listdir(f"{self.path}/state")] if os.path.isdir(f"{self.path}/state") else [0]
-        return self.state(max(numbers)).select("key", "value")
+        return self.state(max(map(int, files.names(self.spark, f"{self.path}/state")), default=0)).select("key", "value")
 
 
 def state_after(operations: DataFrame) -> DataFrame:

@@ -85,6 +85,76 @@ def test_store_transactions_and_recovery(spark, tmp_path):
     assert rows(again.range(1, 3)) == [(1, 12), (3, 30)] and again.get(4) == 40
 
 
+def test_store_bulk_writes_durability_and_paths(spark, tmp_path):
+    place = f"file://{tmp_path}/kv"
+    s = Store(spark, place, capacity=5)
+    came = [(0, 7, 70), (1, 8, 80), (2, 7, 71), (3, None, 5), (4, 9, None), (5, 1, 10)]
+    assert s.write(spark.createDataFrame(came, "seq long, key long, value long")) == 0
+    more = spark.createDataFrame([(0, 4, 40), (1, 3, 30), (2, 2, 20), (3, 8, 81)], "seq long, key long, value long")
+    assert s.write(more) == 2 and s.dropped == 2  # one place is left, the first new key gets it
+    want = [(1, 10), (4, 40), (7, 71), (8, 81), (9, None)]
+    assert sorted(rows(Store(spark, place).state())) == want
+    assert s.write(spark.createDataFrame([], "seq long, key long, value long")) == 0
+    s.checkpoint()
+    s.checkpoint()
+    s.close()
+    lazy = Store(spark, place, durability="off")
+    assert sorted(rows(lazy.state())) == want and lazy.put(7, 72) and lazy.put(6, 60) and lazy.get(7) == 72
+    assert Store(spark, place).get(7) == 71  # a crash would lose what the driver holds
+    lazy.flush()
+    assert Store(spark, place).get(7) == 72 and Store(spark, place).get(6) == 60
+    assert lazy.put(7, 73)
+    lazy.close()
+    assert Store(spark, place).get(7) == 73
+    with pytest.raises(ValueError):
+        Store(spark, place, durability="sometimes")
+
+
+def test_restore_refuses_and_columns_have_files(spark, tmp_path):
+    e = Engine(spark, store=f"{tmp_path}/kv")
+    e.load_rows("t", {"v": ("u32", [4, 5, 6]), "s": ("str", ["p", "q", "p"])}, {"v": [0, 1, 0]})
+    for k in range(4):
+        e.store.put(k, k)
+    assert e.backup(f"file://{tmp_path}/b")
+    small = Engine(spark, store=f"{tmp_path}/small")
+    small.store.capacity = 3
+    assert not small.restore(f"file://{tmp_path}/b") and not small.catalog.columns and small.store.state().count() == 0
+    small.store.capacity = 4
+    assert small.restore(f"file://{tmp_path}/b") and sorted(rows(small.store.state())) == [(k, k) for k in range(4)]
+    assert rows(small.sql("SELECT COUNT(v), SUM(v)")) == [(2, 10)]
+    e.save_column("s", f"{tmp_path}/s")
+    fresh = Engine(spark)
+    assert fresh.load_column(f"{tmp_path}/s", "named") == "named"
+    assert rows(fresh.sql("SELECT named WHERE named = 'p'")) == [("p",), ("p",)]
+    with pytest.raises(FileNotFoundError):
+        fresh.load_column(f"{tmp_path}/none")
+
+
+def test_snapshot_replaced_from_itself(spark, tmp_path):
+    place = f"file://{tmp_path}/snap"
+    e = Engine(spark)
+    e.load_rows("t", {"v": ("i64", [-1, 2])})
+    assert e.save(place)
+    again = Engine(spark)
+    assert again.load(place) and again.save(place)
+    assert rows(again.sql("SELECT SUM(v)")) == [(1,)]
+    third = Engine(spark)
+    assert third.load(place) and rows(third.sql("SELECT MIN(v)")) == [(-1,)]
+    kept = [p.name for p in (tmp_path / "snap").iterdir() if not p.name.startswith((".", "_"))]
+    assert sorted(n.split("-")[0] for n in kept) == ["catalog", "v", "v"]
+
+
+def test_states_of_a_stream_by_scheme(spark, tmp_path):
+    pipe = S.Pipeline(spark, f"file://{tmp_path}/out", keep=2)
+    for n in range(4):
+        pipe.apply(spark.createDataFrame([(n, S.WRITE, 1, n), (n, S.WRITE, 10 + n, n)], S.OPERATIONS), n)
+    assert sorted(rows(pipe.final_state())) == [(1, 3), (10, 0), (11, 1), (12, 2), (13, 3)]
+    assert pipe.state(3).count() == 4
+    for gone in (1, 9):
+        with pytest.raises(FileNotFoundError):
+            pipe.state(gone)
+
+
 def test_stream_counts_and_state(spark, tmp_path):
     rng = random.Random(3)
     ops = [(i, rng.choice([S.READ, S.WRITE, S.SCAN, S.TXN_WRITE]), rng.randint(0, 40), i * 10) for i in range(600)]

@@ -219,3 +219,15 @@ def test_kinds_of_parquet_columns(spark, tmp_path):
     e.load_parquet(f"{tmp_path}/t", "t", {"i": Kind.U32})
     assert {c.name: c.kind.value for c in e.catalog.columns.values()} == {"i": "u32", "d": "f64", "s": "str", "t": "i64"}
     assert rows(e.sql("SELECT MAX(t)")) == [(1_000_000,)]
+
+
+def test_dictionary_of_absent_values_and_fingerprint(spark):
+    codes = joins.encode_dictionary(spark.createDataFrame([("pear",), ("fig",), (None,), ("fig",)], "s string"), "s")
+    asked = spark.createDataFrame([(1, "fig"), (2, "kiwi"), (3, None), (4, "pear")], "n int, s string")
+    assert sorted(rows(joins.encode_values(asked, "s", codes).select("n", "code"))) == [(1, 0), (2, 2), (3, 2), (4, 1)]
+    wanted = spark.createDataFrame([(1, 1), (2, 2), (3, -1), (4, None)], "n int, code long")
+    assert sorted(rows(joins.decode_values(wanted, codes).select("n", "value"))) == [(1, "pear"), (2, ""), (3, ""), (4, "")]
+    values = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "v string")
+    once = rows(kv.fingerprint(values, "v"))
+    assert rows(kv.fingerprint(values.orderBy("v").repartition(3), "v")) == once
+    assert rows(kv.fingerprint(values.distinct(), "v")) != once and rows(kv.fingerprint(values.where("v > 'x'"), "v")) == [("0",)]
