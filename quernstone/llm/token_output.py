@@ -228,7 +228,8 @@ def finish(manifests: list[DataFrame], folder: str, length: int = LENGTH, per_sh
     shards = []
     for manifest in manifests:
         with _freeing(manifest.sparkSession):
-            shards += map(tuple, manifest.collect())  # one row for each file
+            # a plan made here: one made before does not know that its shuffle files are to go
+            shards += map(tuple, manifest.select("*").collect())  # one row for each file
     shards.sort()
     about = {"length": length, "per_shard": per_shard, "dtype": DTYPE.str, "seed": seed, "total": sum(s[1] for s in shards), "shards": shards}
     path = f"{_folder(folder)}/manifest.json"
