@@ -256,9 +256,10 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", counts
     maybe = seen(gone.select("h"))(F.col("h"))
     joined = frame.where(maybe).join(gone.withColumnRenamed("h", "g"), (F.col("h") == F.col("g")) & F.col("mark").eqNullSafe(F.col("gone_from")), "left").select("row", "text", "gone_at")
     joined = joined.unionByName(frame.where(~maybe).select("row", "text", F.lit(None).cast("array<int>").alias("gone_at")))
-    split = F.split("text", "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone_at"))
-    rest = F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n")
+    # a column of its own, read twice: inside the lambda the text would be split again for each line
+    joined = joined.withColumn("parts", F.when(F.col("gone_at").isNotNull(), F.split("text", "\n")))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone_at"))
+    rest = F.array_join(F.transform(stay, lambda i: F.get("parts", i)), "\n")
     shown = {text: F.when(F.col("gone_at").isNull(), F.col("text")).otherwise(rest)}
     breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
     shown["n_lines"] = F.coalesce(breaks + 1, F.lit(0)).cast("long")
