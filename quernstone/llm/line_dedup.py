@@ -43,10 +43,10 @@ def marked(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(f"`{key}`").alias("id"), F.xxhash64(whole).alias("tx"), whole.alias("text"))
 
 
-def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """id, tx, at, line: every line that has words, with a space for any white space."""
+def lines(texts: DataFrame) -> DataFrame:
+    """id, tx, at, line: every line of marked() texts that has words, with a space for any white space."""
     whole = F.when(F.col("text").rlike(f"[{_OTHER_SPACE}]"), F.translate("text", _OTHER_SPACE, "    ")).otherwise(F.col("text"))
-    rows = marked(docs, key, text).select("id", "tx", F.posexplode(F.split(whole, "\n")).alias("at", "line"))
+    rows = texts.select("id", "tx", F.posexplode(F.split(whole, "\n")).alias("at", "line"))
     return rows.where(F.trim("line") != "")
 
 
@@ -185,15 +185,15 @@ def others(left: DataFrame, classes: DataFrame) -> DataFrame:
     return met(wanted.where(again(F.xxhash64("w"))), meetings(classes).where(again(F.xxhash64("w")) & asked(F.xxhash64("w"))))
 
 
-def matching(pairs: DataFrame, classes: DataFrame, found: DataFrame, scratch: list) -> DataFrame:
+def matching(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: list) -> DataFrame:
     """cid of the pairs (cid, y) whose lines have a Jaccard similarity of 0.8, from the words themselves, and whose
     places are not the same."""
     place = F.struct("id", "at", "tx")
     wanted = pairs.select("cid").union(pairs.select("y")).distinct()
     reps = written(classes.join(wanted, "cid").select("cid", "first", F.xxhash64("first").alias("h")), "reps", scratch)
-    # only lines whose place may be that of a wanted class are moved to it
-    maybe = seen(reps.select("h"))
-    texts = found.where(maybe(F.xxhash64(place))).select(place.alias("p"), F.xxhash64(place).alias("h"), "line")
+    # only documents that may have the place of a wanted class are split, and only lines that may be at one are moved
+    maybe, inside = seen(reps.select("h")), seen(reps.select(F.xxhash64("first.id", "first.tx").alias("h")))
+    texts = lines(docs.where(inside(F.xxhash64("id", "tx")))).where(maybe(F.xxhash64(place))).select(place.alias("p"), F.xxhash64(place).alias("h"), "line")
     sets = texts.join(reps, "h").where(F.col("p").eqNullSafe(F.col("first"))).select("cid", "line", F.struct("p.id", "p.at").alias("p")).dropDuplicates(["cid"])
     sets = written(sets, "sets", scratch)
     x, y = sets.select("cid", F.col("line").alias("x"), F.col("p").alias("px")), sets.select(F.col("cid").alias("y"), F.col("line").alias("z"), F.col("p").alias("py"))
@@ -202,7 +202,7 @@ def matching(pairs: DataFrame, classes: DataFrame, found: DataFrame, scratch: li
     return pairs.join(x, "cid").join(y, "y").where((F.col("py") < F.col("px")) & alike).select("cid").distinct()
 
 
-def repeated(classes: DataFrame, found: DataFrame, scratch: list) -> DataFrame:
+def repeated(classes: DataFrame, docs: DataFrame, scratch: list) -> DataFrame:
     """cid of the classes that an earlier class matches.
 
     Classes without a likely match among the earliest are held against every earlier class they meet. If a likely match
@@ -210,21 +210,22 @@ def repeated(classes: DataFrame, found: DataFrame, scratch: list) -> DataFrame:
     """
     likely = written(earliest(classes), "likely", scratch)
     rest = written(others(classes.join(likely, "cid", "left_anti").select("cid"), classes), "rest", scratch)
-    settled = written(matching(likely.union(rest), classes, found, scratch), "settled", scratch)
+    settled = written(matching(likely.union(rest), classes, docs, scratch), "settled", scratch)
     unsure = written(likely.join(settled, "cid", "left_anti").select("cid"), "unsure", scratch)
     if unsure.isEmpty():
         return settled
-    return settled.union(matching(written(others(unsure, classes), "late", scratch), classes, found, scratch))
+    return settled.union(matching(written(others(unsure, classes), "late", scratch), classes, docs, scratch))
 
 
 def line_limits(docs: DataFrame, key: str, text: str, scratch: list) -> tuple[DataFrame, DataFrame]:
     """All lines by class key, and for classes that lose lines whether all go or all but the first place."""
-    found = lines(docs, key, text)
+    texts = marked(docs, key, text)
+    found = lines(texts)
     rows = written(keyed(found, rarity(found)), "lines", scratch)
     place = F.struct("id", "at", "tx")
     classes = rows.groupBy("k1", "sig", "sig2", "n").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("lead").alias("lead"))
     classes = written(classes.orderBy("first").withColumn("cid", F.monotonically_increasing_id()), "classes", scratch)
-    gone = repeated(classes, found, scratch).withColumn("all", F.lit(True))
+    gone = repeated(classes, texts, scratch).withColumn("all", F.lit(True))
     limits = classes.select("cid", "k1", "sig", "n", "copies", "first").join(gone, "cid", "left").where((F.col("copies") > 1) | F.col("all"))
     limits = limits.select("k1", "sig", "n", F.struct("first.id", "first.at").alias("first"), F.coalesce("all", F.lit(False)).alias("all"))
     return rows, written(limits, "limits", scratch)
