@@ -130,8 +130,9 @@ def near(a: str, b: str) -> tuple[Column, Column]:
     return (5 * na >= 4 * nb) & (5 * nb >= 4 * na) & (d <= most) & (wide <= most), wide
 
 
-def meetings(classes: DataFrame) -> DataFrame:
-    """cid, n, sig, sig2, pos, w: where each class can meet others.
+def meetings(classes: DataFrame, asks: Column) -> DataFrame:
+    """code, n, sig, sig2, pos, w: where each class can meet others. code is 2 cid, and 1 more for a class that asks for
+    earlier classes: one column, so that both sides of the join are the same rows and move once.
 
     Two similar classes have a first common word, inside both prefixes. If it is not hot they meet on it. If it is hot
     they share a second, later word inside prefixes longer by one, and meet on both words. Classes of more than
@@ -145,30 +146,33 @@ def meetings(classes: DataFrame) -> DataFrame:
     alone = lambda w, i: F.array(F.struct(i.alias("pos"), w.cast("long").alias("w")))
     hot = lambda w, i: F.concat(F.when(n <= LONG, second(w, i)).otherwise(none), F.when(5 * n > 4 * LONG, alone(w, i)).otherwise(none))
     places = F.transform("lead", lambda w, i: F.when((i >= p) | (w == 0), none).when(w > 0, alone(w, i)).otherwise(hot(w, i)))
-    own = ["cid", "n", "sig", "sig2"]
-    return classes.where(F.size("lead") > 0).select(*own, F.explode(F.flatten(places)).alias("m")).select(*own, "m.pos", "m.w")
+    own = ["code", "n", "sig", "sig2"]
+    coded = classes.where(F.size("lead") > 0).withColumn("code", 2 * F.col("cid") + asks.cast("long"))
+    return coded.select(*own, F.explode(F.flatten(places)).alias("m")).select(*own, "m.pos", "m.w")
 
 
-def met(later: DataFrame, every: DataFrame) -> DataFrame:
-    """cid, y: for the classes in later, the earlier classes y that they meet and that pass the length, position and
-    parity filters. The smaller class of a pair needs the shorter prefix for an overlap of 8/9 only."""
-    a, b = later.alias("a"), every.alias("b")
+def met(places: DataFrame) -> DataFrame:
+    """cid, y: for the classes of meetings() that ask, the earlier classes y that they meet and that pass the length,
+    position and parity filters. The smaller class of a pair needs the shorter prefix for an overlap of 8/9 only."""
+    a, b = places.alias("a"), places.alias("b")
     na, nb, pa, pb = F.col("a.n"), F.col("b.n"), F.col("a.pos"), F.col("b.pos")
     short = F.when(na <= nb, pa <= na - overlap(na, na)).otherwise(pb <= nb - overlap(nb, nb))
-    places = short & (F.least(na - pa, nb - pb) >= overlap(na, nb))
-    found = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("b.cid") < F.col("a.cid")) & places & near("a", "b")[0])
-    return found.select("a.cid", F.col("b.cid").alias("y")).distinct()
+    near_places = short & (F.least(na - pa, nb - pb) >= overlap(na, nb))
+    # an even code, of a class that does not ask, becomes 0 here, and no code is below
+    before = F.col("b.code") < F.col("a.code") * F.col("a.code").bitwiseAND(F.lit(1))
+    found = a.join(b, (F.col("a.w") == F.col("b.w")) & before & near_places & near("a", "b")[0])
+    return found.select(F.shiftright("a.code", 1).alias("cid"), F.shiftright("b.code", 1).alias("y")).distinct()
 
 
-def earliest(classes: DataFrame) -> DataFrame:
+def earliest(classes: DataFrame, scratch: list) -> DataFrame:
     """cid, y: for each class the nearest among the earliest classes that have a crowded word of its prefix, if
     parities, or for long lines the rare words, say that they match. A word is crowded if CROWD classes have it: words
     of fewer are left to others(). One row of a word for each task moves, however many classes share it."""
     own = ["cid", "n", "sig", "sig2"]
     rows = classes.where(F.size("lead") > 0).select(*own, F.explode(F.array_distinct(F.array_remove(F.slice("lead", F.lit(1), prefix(F.col("n"))), 0))).alias("w"))
-    crowded = seen(rows.select(F.xxhash64("w").alias("h")), CROWD)
-    rows = rows.where(crowded(F.xxhash64("w")))
-    firsts = rows.groupBy("w").agg(F.min("cid").alias("y")).join(classes.select(F.col("cid").alias("y"), *own[1:]), "y").withColumnRenamed("y", "cid")
+    firsts = rows.groupBy("w").agg(F.min("cid").alias("y"), F.count(F.lit(1)).alias("k")).where(F.col("k") >= CROWD).select("w", "y")
+    firsts = written(firsts.join(classes.select(F.col("cid").alias("y"), *own[1:]), "y").withColumnRenamed("y", "cid"), "firsts", scratch)
+    rows = rows.where(seen(firsts.select(F.xxhash64("w").alias("h")))(F.xxhash64("w")))
     likely, wide = near("a", "b")
     pairs = rows.alias("a").join(firsts.alias("b"), (F.col("a.w") == F.col("b.w")) & (F.col("b.cid") < F.col("a.cid")) & likely)
     best = pairs.groupBy("a.cid", "a.n").agg(F.min(F.struct(wide.alias("d"), F.col("b.cid").alias("y"))).alias("m")).select("cid", "n", "m.y")
@@ -178,11 +182,10 @@ def earliest(classes: DataFrame) -> DataFrame:
 
 
 def others(left: DataFrame, classes: DataFrame) -> DataFrame:
-    """cid, y: every earlier class that the classes in left (cid) meet."""
-    wanted = meetings(classes.join(left, "cid", "left_semi"))
-    again = seen(meetings(classes).select(F.xxhash64("w").alias("h")), 2)
-    asked = seen(wanted.select(F.xxhash64("w").alias("h")))
-    return met(wanted.where(again(F.xxhash64("w"))), meetings(classes).where(again(F.xxhash64("w")) & asked(F.xxhash64("w"))))
+    """cid, y: every earlier class that the classes in left (cid) meet, where left is a small part of all."""
+    asking = classes.join(left.withColumn("asks", F.lit(True)), "cid", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    asked = seen(meetings(asking.where("asks"), F.lit(True)).select(F.xxhash64("w").alias("h")))
+    return met(meetings(asking, F.col("asks")).where(asked(F.xxhash64("w"))))
 
 
 def matching(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: list) -> DataFrame:
@@ -208,8 +211,9 @@ def repeated(classes: DataFrame, docs: DataFrame, scratch: list) -> DataFrame:
     Classes without a likely match among the earliest are held against every earlier class they meet. If a likely match
     is none after all, its class goes the same way afterwards, so no match is lost.
     """
-    likely = written(earliest(classes), "likely", scratch)
-    rest = written(others(classes.join(likely, "cid", "left_anti").select("cid"), classes), "rest", scratch)
+    likely = written(earliest(classes, scratch), "likely", scratch)
+    asking = classes.join(likely, "cid", "left")
+    rest = written(met(meetings(asking, F.col("y").isNull())), "rest", scratch)
     settled = written(matching(likely.union(rest), classes, docs, scratch), "settled", scratch)
     unsure = written(likely.join(settled, "cid", "left_anti").select("cid"), "unsure", scratch)
     if unsure.isEmpty():
