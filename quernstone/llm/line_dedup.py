@@ -8,12 +8,12 @@ Words are ordered by rarity: occurrences are counted over the whole corpus in 2
 reach the tasks as one scalar subquery of fixed size. Any order that depends on the word alone makes the prefix filter
 exact, so a bucket that several words share costs candidates, never matches.
 
-One match is enough for a class, so crowds never meet as all pairs. First each class is held against the earliest class
-of each crowded word of its prefix: a minimum by word, linear in the lines. Classes that this settles are only looked at
-by others from then on. The others meet every earlier class on the words of the prefix; length, position and parity
-filters drop meetings inside the join. All candidates are verified on the words themselves at once. A hot word is
-refined to pairs of words: two classes whose first common word it is share a second word in prefixes that are one word
-longer.
+One match is enough for a class, so crowds seldom meet as all pairs. First each class is held against the earliest
+classes of each crowded word of its prefix: minima by word, linear in the lines. The nearest of them are verified on the
+words themselves, and classes that this settles are only looked at by others from then on. The others meet every earlier
+class at the first of each run of common words of the prefix; length, position and parity filters drop meetings inside
+the join, and what is left is verified. A hot word is refined to pairs of words: two classes whose first common word it
+is share a second word in prefixes that are one word longer.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ RARITY_LOG2, SEEN_LOG2, HOT_LOG2 = 21, 24, 9
 #: Classes that make a word crowded; words from which a line has a second parity, and up to which two parities tell
 #: enough for a match to be taken for likely.
 CROWD, WIDE, SURE = 16, 96, 250
+#: Earliest classes of a crowded word, one from each part of its classes, and likely matches of a class that are verified.
+PARTS, GUESSES = 2, 4
 LONG = 250
 _LEVEL_SHIFT = 57
 _MASK = (1 << _LEVEL_SHIFT) - 1
@@ -99,7 +101,8 @@ def keyed(found: DataFrame, levels: Column) -> DataFrame:
     hashes = F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w)))
     # the scalar stands beside the lambda here; the optimizer moves it inside, where each line reads it in place
     rows = found.select("id", "tx", "at", hashes.alias("h"), levels.alias("levels"))
-    packed = lambda h: F.shiftleft(F.get("levels", bucket(h, RARITY_LOG2)).cast("long"), _LEVEL_SHIFT).bitwiseOR(h.bitwiseAND(F.lit(_MASK)))
+    # never null, so that the array has plain numbers
+    packed = lambda h: F.shiftleft(F.coalesce(F.get("levels", bucket(h, RARITY_LOG2)), F.lit(0)).cast("long"), _LEVEL_SHIFT).bitwiseOR(h.bitwiseAND(F.lit(_MASK)))
     rows = rows.select("id", "tx", "at", F.sort_array(F.transform("h", packed)).alias("s"))
     half = F.filter("s", lambda x: x.bitwiseAND(F.lit(64)) != 0)
     rows = rows.select("id", "tx", "at", F.size("s").alias("n"), F.xxhash64("s").alias("k1"), _parity(F.col("s")).alias("sig"), F.when(F.size("s") > WIDE, _parity(half)).otherwise(F.lit(0).cast("long")).alias("sig2"), "s")
@@ -131,63 +134,66 @@ def near(a: str, b: str) -> tuple[Column, Column]:
 
 
 def meetings(classes: DataFrame, asks: Column) -> DataFrame:
-    """code, n, sig, sig2, pos, w: where each class can meet others. code is 2 cid, and 1 more for a class that asks for
-    earlier classes: one column, so that both sides of the join are the same rows and move once.
+    """code, n, sig, sig2, pos, w, b1, b2: where each class can meet others. code is 2 cid, and 1 more for a class that
+    asks for earlier classes: one column, so that both sides of the join are the same rows and move once.
 
     Two similar classes have a first common word, inside both prefixes. If it is not hot they meet on it. If it is hot
     they share a second, later word inside prefixes longer by one, and meet on both words. Classes of more than
     0.8 LONG words also meet on the hot word alone, since pairs of words would be too many for those beyond LONG.
+    b1 and b2 are the words of lead before the first and before the second word, 0 if there is none or none between.
     """
     p, n = prefix(F.col("n")), F.col("n")
-    none = F.array().cast("array<struct<pos:int,w:bigint>>")
-    second = lambda w, i: F.transform(
-        F.filter(F.slice("lead", i + 2, F.size("lead")), lambda s: s != 0), lambda s: F.struct(i.alias("pos"), F.shiftleft(w.cast("long"), 32).bitwiseOR(s.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("w"))
-    )
-    alone = lambda w, i: F.array(F.struct(i.alias("pos"), w.cast("long").alias("w")))
+    none = F.array().cast("array<struct<pos:int,w:bigint,b1:int,b2:int>>")
+    before = lambda at, any_: F.when(any_, F.get("lead", at)).otherwise(F.lit(0)).alias
+    place = lambda i, w, j, any_: F.struct(i.alias("pos"), w.alias("w"), before(i - 1, i > 0)("b1"), before(j, any_)("b2"))
+    both = lambda w, s: F.shiftleft(w.cast("long"), 32).bitwiseOR(s.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    # words after a hot one are hot, so lead[i + 1 + j] is the second word of number j
+    second = lambda w, i: F.transform(F.slice("lead", i + 2, F.size("lead")), lambda s, j: place(i, both(w, s), i + j, j > 0))
+    alone = lambda w, i: F.array(place(i, w.cast("long"), i, F.lit(False)))
     hot = lambda w, i: F.concat(F.when(n <= LONG, second(w, i)).otherwise(none), F.when(5 * n > 4 * LONG, alone(w, i)).otherwise(none))
     places = F.transform("lead", lambda w, i: F.when((i >= p) | (w == 0), none).when(w > 0, alone(w, i)).otherwise(hot(w, i)))
     own = ["code", "n", "sig", "sig2"]
     coded = classes.where(F.size("lead") > 0).withColumn("code", 2 * F.col("cid") + asks.cast("long"))
-    return coded.select(*own, F.explode(F.flatten(places)).alias("m")).select(*own, "m.pos", "m.w")
+    return coded.select(*own, F.explode(F.flatten(places)).alias("m")).select(*own, "m.pos", "m.w", "m.b1", "m.b2")
 
 
 def met(places: DataFrame) -> DataFrame:
     """cid, y: for the classes of meetings() that ask, the earlier classes y that they meet and that pass the length,
-    position and parity filters. The smaller class of a pair needs the shorter prefix for an overlap of 8/9 only."""
+    position and parity filters. The smaller class of a pair needs the shorter prefix for an overlap of 8/9 only.
+
+    Near copies share many words of their prefixes. They meet at the first of a run of common words only: where the words
+    before are equal too, both classes have a place for those, earlier in both, which passes whatever this one passes."""
     a, b = places.alias("a"), places.alias("b")
     na, nb, pa, pb = F.col("a.n"), F.col("b.n"), F.col("a.pos"), F.col("b.pos")
     short = F.when(na <= nb, pa <= na - overlap(na, na)).otherwise(pb <= nb - overlap(nb, nb))
     near_places = short & (F.least(na - pa, nb - pb) >= overlap(na, nb))
     # an even code, of a class that does not ask, becomes 0 here, and no code is below
     before = F.col("b.code") < F.col("a.code") * F.col("a.code").bitwiseAND(F.lit(1))
-    found = a.join(b, (F.col("a.w") == F.col("b.w")) & before & near_places & near("a", "b")[0])
-    return found.select(F.shiftright("a.code", 1).alias("cid"), F.shiftright("b.code", 1).alias("y")).distinct()
+    again = lambda c: (F.col(f"a.{c}") != 0) & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    found = a.join(b, (F.col("a.w") == F.col("b.w")) & before & ~again("b1") & ~again("b2") & near_places & near("a", "b")[0])
+    return found.select(F.shiftright("a.code", 1).alias("cid"), F.shiftright("b.code", 1).alias("y"))
 
 
 def earliest(classes: DataFrame, scratch: list) -> DataFrame:
-    """cid, y: for each class the nearest among the earliest classes that have a crowded word of its prefix, if
+    """cid, y: for each class the GUESSES nearest among the earliest classes that have a crowded word of its prefix, if
     parities, or for long lines the rare words, say that they match. A word is crowded if CROWD classes have it: words
-    of fewer are left to others(). One row of a word for each task moves, however many classes share it."""
+    of fewer are left to met(). PARTS rows of a word for each task move, however many classes share it."""
     own = ["cid", "n", "sig", "sig2"]
     rows = classes.where(F.size("lead") > 0).select(*own, F.explode(F.array_distinct(F.array_remove(F.slice("lead", F.lit(1), prefix(F.col("n"))), 0))).alias("w"))
-    firsts = rows.groupBy("w").agg(F.min("cid").alias("y"), F.count(F.lit(1)).alias("k")).where(F.col("k") >= CROWD).select("w", "y")
+    part = lambda i: F.min(F.when(F.pmod(F.xxhash64("cid"), F.lit(PARTS)) == i, F.col("cid")))
+    firsts = rows.groupBy("w").agg(F.array(*[part(i) for i in range(PARTS)]).alias("y"), F.count(F.lit(1)).alias("k")).where(F.col("k") >= CROWD)
+    firsts = firsts.select("w", F.explode("y").alias("y")).where(F.col("y").isNotNull())
     firsts = written(firsts.join(classes.select(F.col("cid").alias("y"), *own[1:]), "y").withColumnRenamed("y", "cid"), "firsts", scratch)
     rows = rows.where(seen(firsts.select(F.xxhash64("w").alias("h")))(F.xxhash64("w")))
     likely, wide = near("a", "b")
     pairs = rows.alias("a").join(firsts.alias("b"), (F.col("a.w") == F.col("b.w")) & (F.col("b.cid") < F.col("a.cid")) & likely)
-    best = pairs.groupBy("a.cid", "a.n").agg(F.min(F.struct(wide.alias("d"), F.col("b.cid").alias("y"))).alias("m")).select("cid", "n", "m.y")
+    nearest = F.slice(F.sort_array(F.collect_set(F.struct(wide.alias("d"), F.col("b.cid").alias("y")))), 1, GUESSES)
+    best = pairs.groupBy("a.cid", "a.n").agg(nearest.alias("m")).select("cid", "n", F.explode("m.y").alias("y"))
     sure = best.where(F.col("n") <= SURE).select("cid", "y")
     long = best.where(F.col("n") > SURE).join(classes.select("cid", "lead"), "cid").join(classes.select(F.col("cid").alias("y"), F.col("lead").alias("other")), "y")
     return sure.unionByName(long.where(2 * F.size(F.array_intersect("lead", "other")) > F.size(F.array_distinct("lead"))).select("cid", "y"))
 
 
-def others(left: DataFrame, classes: DataFrame) -> DataFrame:
-    """cid, y: every earlier class that the classes in left (cid) meet, where left is a small part of all."""
-    asking = classes.join(left.withColumn("asks", F.lit(True)), "cid", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-    asked = seen(meetings(asking.where("asks"), F.lit(True)).select(F.xxhash64("w").alias("h")))
-    return met(meetings(asking, F.col("asks")).where(asked(F.xxhash64("w"))))
-
-
 def matching(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: list) -> DataFrame:
     """cid of the pairs (cid, y) whose lines have a Jaccard similarity of 0.8, from the words themselves, and whose
     places are not the same."""
@@ -208,17 +214,14 @@ def matching(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: lis
 def repeated(classes: DataFrame, docs: DataFrame, scratch: list) -> DataFrame:
     """cid of the classes that an earlier class matches.
 
-    Classes without a likely match among the earliest are held against every earlier class they meet. If a likely match
-    is none after all, its class goes the same way afterwards, so no match is lost.
+    The likely match of a class among the earliest is verified first. Classes that have none, or whose likely match is
+    none after all, are then held against every earlier class they meet, so no match is lost.
     """
     likely = written(earliest(classes, scratch), "likely", scratch)
-    asking = classes.join(likely, "cid", "left")
-    rest = written(met(meetings(asking, F.col("y").isNull())), "rest", scratch)
-    settled = written(matching(likely.union(rest), classes, docs, scratch), "settled", scratch)
-    unsure = written(likely.join(settled, "cid", "left_anti").select("cid"), "unsure", scratch)
-    if unsure.isEmpty():
-        return settled
-    return settled.union(matching(written(others(unsure, classes), "late", scratch), classes, docs, scratch))
+    settled = written(matching(likely, classes, docs, scratch), "settled", scratch)
+    asking = classes.join(settled.withColumn("done", F.lit(True)), "cid", "left")
+    rest = written(met(meetings(asking, F.col("done").isNull())).distinct(), "rest", scratch)
+    return settled.union(matching(rest, classes, docs, scratch))
 
 
 def line_limits(docs: DataFrame, key: str, text: str, scratch: list) -> tuple[DataFrame, DataFrame]:

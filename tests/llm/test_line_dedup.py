@@ -94,6 +94,36 @@ def test_unlikely_likely_matches_are_held_against_all(spark, monkeypatch):
     compare(spark, case(8, 40))
 
 
+def classes_of(spark, lines):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(2)
+    found = L.lines(L.marked(docs, "doc_id", "text"))
+    return L.keyed(found, L.rarity(found)).withColumn("cid", F.col("id"))
+
+
+@pytest.mark.parametrize(("hot", "long"), [(9, 250), (0, 250), (0, 20)])
+def test_near_copies_meet_once(spark, monkeypatch, hot, long):
+    """At the first of a run of common words, plain, in pairs of hot words, or hot and alone; not at each of the prefix."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(type(spark.range(1)), "distinct", lambda self: self)
+    monkeypatch.setattr(L, "HOT_LOG2", hot)
+    monkeypatch.setattr(L, "LONG", long)
+    shared = " ".join(f"c{k}" for k in range(30))
+    classes = classes_of(spark, [f"{shared} {' '.join(f'often{j}' for j in range(14) if j != i)}" for i in range(10)] + [f"often{j} " * 99 for j in range(14)])
+    pairs = [tuple(r) for r in L.met(L.meetings(classes.where("id < 10"), F.lit(True))).collect()]
+    assert sorted(pairs) == [(x, y) for x in range(10) for y in range(x)]
+
+
+def test_a_class_has_several_likely_matches(spark, monkeypatch):
+    monkeypatch.setattr(L, "CROWD", 2)
+    shared = " ".join(f"c{k}" for k in range(40))
+    got = L.earliest(classes_of(spark, [f"{shared} own{i}" for i in range(12)]), []).collect()
+    assert len({r.cid for r in got}) >= 10 and len({r.y for r in got}) > 1
+    assert all(r.y < r.cid for r in got) and len(got) == len(set(got)) > 12
+
+
 def test_shared_rare_buckets_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(L, "RARITY_LOG2", 11)
     compare(spark, case(3))
